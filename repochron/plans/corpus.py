@@ -57,7 +57,7 @@ DOCUMENT_TEXTS = [
         ' "bin": "cli.js",\n'
         ' "scripts": {"test": "bun test", "lint": "eslint .", "check": "bun run lint && bun run test"},\n'
         ' "dependencies": {"react": "18", "zod": "3"}, "devDependencies": {"typescript": "5"}}\n')),
-    (r"^Cargo\.toml\z", (
+    (r"(^|/)Cargo\.toml\z", (
         '[package]\nname = "crate-{repo}"\nversion = "0.{repo}.1"\nedition = "2021"\n\n'
         '[dependencies]\nserde = { version = "1" }\nclap = "4" # parser\n\n[dev-dependencies]\ncriterion = "0.5"\n')),
     (r"^tsconfig\.json\z", (
@@ -156,7 +156,7 @@ class Corpus:
             F.concat(F.lit(".github/workflows/ci"), (p % 50 % 3).cast("string"), F.lit(".yml")),
             F.concat(F.lit("vendor/f"), n, F.lit(".js")), F.concat(F.lit("crates/globset/src/f"), n, F.lit(".rs")),
             F.concat(F.lit("styles/f"), n, F.lit(".css")), F.concat(F.lit("test/fixtures/f"), n, F.lit(".json")),
-            F.lit("Cargo.toml"), F.concat(F.lit("pkg/f"), n, F.lit("_test.go")), F.lit(".env"), F.lit("tsconfig.json"),
+            F.when(F.col("repo_id") % 3 == 0, "Cargo.toml").otherwise("crates/globset/Cargo.toml"), F.concat(F.lit("pkg/f"), n, F.lit("_test.go")), F.lit(".env"), F.lit("tsconfig.json"),
             F.concat(F.lit("docs/adr/"), n, F.lit("-choice.md")), F.lit("package-lock.json"),
         ]
         path = F.element_at(F.array(*paths), (p % 18 + 1).cast("int"))
