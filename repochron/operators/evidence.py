@@ -68,8 +68,8 @@ def references(exploded: DataFrame, numbered: DataFrame) -> DataFrame:
 
 def integrity(refs: DataFrame, numbered: DataFrame) -> DataFrame:
     """References without evidence and evidence without references; empty when all is well."""
-    unresolved = refs.join(numbered, ["repo_id", "id"], "left_anti").select("repo_id", "id", F.lit("unresolved").alias("problem"))
-    unused = numbered.join(refs, ["repo_id", "id"], "left_anti").select("repo_id", "id", F.lit("unreferenced").alias("problem"))
+    unresolved = refs.join(numbered, ["repo_id", "key"], "left_anti").select("repo_id", "key", F.lit("unresolved").alias("problem"))
+    unused = numbered.join(refs, ["repo_id", "key"], "left_anti").select("repo_id", "key", F.lit("unreferenced").alias("problem"))
     return unresolved.unionByName(unused)
 
 
