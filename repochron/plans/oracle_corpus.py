@@ -185,9 +185,10 @@ CTES: dict[str, str] = {
             WHEN 0 THEN 'src/cli/f' || n || '.ts' WHEN 1 THEN 'src/core/f' || n || '.rs' WHEN 2 THEN 'test/f' || n || '.test.ts'
             WHEN 3 THEN 'docs/f' || n || '.md' WHEN 4 THEN 'README.md' WHEN 5 THEN 'package.json' WHEN 6 THEN 'bun.lock'
             WHEN 7 THEN '.github/workflows/ci' || (n % 3) || '.yml' WHEN 8 THEN 'vendor/f' || n || '.js'
-            WHEN 9 THEN 'crates/globset/src/f' || n || '.rs' WHEN 10 THEN 'styles/f' || n || '.css'
+            WHEN 9 THEN CASE WHEN l_partkey % 10 = 5 THEN 'crates/globset/benches/f' ELSE 'crates/globset/src/f' END || n || '.rs'
+            WHEN 10 THEN CASE l_partkey % 25 WHEN 3 THEN 'CHANGELOG.md' WHEN 7 THEN 'AGENTS.md' ELSE 'styles/f' || n || '.css' END
             WHEN 11 THEN 'test/fixtures/f' || n || '.json' WHEN 12 THEN CASE WHEN repo_id % 3 = 0 THEN 'Cargo.toml' ELSE 'crates/globset/Cargo.toml' END WHEN 13 THEN 'pkg/f' || n || '_test.go'
-            WHEN 14 THEN '.env' WHEN 15 THEN 'tsconfig.json' WHEN 16 THEN 'docs/adr/' || n || '-choice.md' ELSE 'package-lock.json' END AS path,
+            WHEN 14 THEN CASE WHEN l_partkey % 4 = 0 THEN '.env' ELSE '.prettierrc' END WHEN 15 THEN 'tsconfig.json' WHEN 16 THEN 'docs/adr/' || n || '-choice.md' ELSE 'package-lock.json' END AS path,
           row_number() OVER (PARTITION BY k ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS pos,
           CASE WHEN l_returnflag = 'A' THEN 'added' WHEN l_returnflag = 'N' THEN 'modified'
             WHEN l_linestatus = 'F' THEN 'deleted' ELSE 'renamed' END AS status,
