@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["classify_queries", "fact_queries", "milestone_queries", "text_queries"]
+MODULES = ["classify_queries", "fact_queries", "milestone_queries", "text_queries", "study_queries"]
 
 
 def load_queries():

@@ -119,8 +119,8 @@ def normalize_timestamp(c):
 @query("percent_label", """
     SELECT repo_id, language, CASE WHEN share < 0.005 THEN '<1' ELSE CAST(CAST(floor(share * 100 + 0.5) AS BIGINT) AS VARCHAR) END AS basis_label,
       CASE WHEN share < 0.01 THEN '<1' ELSE CAST(CAST(floor(share * 100 + 0.5) AS BIGINT) AS VARCHAR) END AS overview_label
-    FROM (SELECT repo_id, language, sum(size) / sum(sum(size)) OVER (PARTITION BY repo_id) AS share FROM file_languages
-      WHERE kind <> 'symlink' AND NOT """ + O.is_vendored() + """ AND language_type IN ('programming', 'markup') GROUP BY ALL)""")
+    FROM (SELECT repo_id, language, b / sum(b) OVER (PARTITION BY repo_id) AS share FROM (SELECT repo_id, language, sum(size) AS b FROM file_languages
+      WHERE kind <> 'symlink' AND NOT """ + O.is_vendored() + """ AND language_type IN ('programming', 'markup') GROUP BY ALL))""")
 def percent_label(c):
     from repochron.operators import metrics
 

@@ -1,6 +1,7 @@
 """Incremental transcript ingestion: JSON lines arrive as files, summaries keep running.
 
-Every line is an object that carries its own ``pos``; the file name identifies the session.
+Every line is an object that carries its own ``pos`` and may name its ``session``; otherwise
+``session-<id>`` in the file path identifies it.
 Entries go through the batch normalization, so the running summary equals the batch one.
 """
 
@@ -13,9 +14,9 @@ from repochron.sources import transcripts as S
 
 
 def read_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """Streaming lines with the session id taken from ``session-<id>`` in the file name."""
+    """Streaming lines with the session id of their path, if it names one."""
     lines = spark.readStream.format("text").option("recursiveFileLookup", "true").load(folder)
-    session = F.regexp_extract(F.col("_metadata.file_path"), r"session-(\d+)[^/]*$", 1).try_cast("long")
+    session = F.regexp_extract(F.col("_metadata.file_path"), r"session-(\d+)", 1).try_cast("long")
     return lines.select(session.alias("session_id"), F.col("value"))
 
 
@@ -23,8 +24,9 @@ def split_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(entries, rejects): parsed lines with their position, and the malformed ones."""
     filled = lines.filter(F.trim("value") != "").withColumn("entry", F.try_parse_json("value"))
     position = F.try_variant_get("entry", "$.pos", "long")
+    session = F.coalesce(F.try_variant_get("entry", "$.session", "long"), F.col("session_id"))
     entries = filled.filter("entry is not null").select(
-        "session_id", position.alias("pos"), F.concat(F.lit("line "), position + 1).alias("position"), "entry")
+        session.alias("session_id"), position.alias("pos"), F.concat(F.lit("line "), position + 1).alias("position"), "entry")
     return entries, filled.filter("entry is null").select("session_id", "value")
 
 
