@@ -40,24 +40,13 @@ def safe_homepage(url) -> Column:
 class Study:
     """Result tables for many repositories at once."""
 
-    def __init__(self, *, repos, commits, changes, tags, files, blobs, events, session_warnings=None):
+    def __init__(self, *, repos, commits, changes, tags, files, blobs, events, session_warnings=None, staged=False):
+        keep = (lambda df: df) if staged else stage  # inputs that already are tables are not written again
         self.repos, self.tags, self.events_in = repos, tags, events
-        self._commits, self._changes, self._files, self._blobs = commits, changes, files, blobs
+        self.commits, self.changes, self.files, self._blobs = keep(commits), keep(changes), keep(files), blobs
         self.session_warnings = session_warnings
 
     # ------------------------------------------------------------------ shared inputs
-    @cached_property
-    def commits(self) -> DataFrame:
-        return stage(self._commits)
-
-    @cached_property
-    def changes(self) -> DataFrame:
-        return stage(self._changes)
-
-    @cached_property
-    def files(self) -> DataFrame:
-        return stage(self._files)
-
     @cached_property
     def events(self) -> DataFrame:
         return stage(self.events_in)

@@ -105,7 +105,7 @@ class Corpus:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
-    def _table(self, name: str, build) -> DataFrame:
+    def table(self, name: str, build) -> DataFrame:
         key = (self.spark.sparkContext.applicationId, self.dir, name)
         if key not in _TABLES:
             _TABLES[key] = stage(build())
@@ -113,13 +113,13 @@ class Corpus:
 
     # ------------------------------------------------------------------ history
     def _keyed_commits(self) -> DataFrame:
-        return self._table("commits", self._build_commits)
+        return self.table("commits", self._build_commits)
 
     def changes(self) -> DataFrame:
-        return self._table("changes", self._build_changes)
+        return self.table("changes", self._build_changes)
 
     def files(self) -> DataFrame:
-        return self._table("files", self._build_files)
+        return self.table("files", self._build_files)
 
     def _build_commits(self) -> DataFrame:
         k = F.col("o_orderkey")

@@ -257,13 +257,13 @@ def marker_history(c):
 
 @query("tool_migrations", "SELECT repo_id, from_tool, to_tool, removed_seq AS removed_idx, added_seq AS added_idx FROM migrations", EXTRA)
 def tool_migrations(c):
-    return technology.tool_migrations(I.stage(technology.marker_history(c.commits(), c.changes(), c.files()))).select(
+    return technology.tool_migrations(I.marker_history(c)).select(
         "repo_id", "from_tool", "to_tool", F.col("removed_seq").alias("removed_idx"), F.col("added_seq").alias("added_idx"))
 
 
 @query("tool_adopted_or_stopped", "SELECT repo_id, tool, event, idx FROM events_of_tools", EXTRA)
 def tool_adopted_or_stopped(c):
-    history = I.stage(technology.marker_history(c.commits(), c.changes(), c.files()))
+    history = I.marker_history(c)
     return technology.tool_events(history, technology.tool_migrations(history)).select("repo_id", "tool", "event", "idx")
 
 
@@ -274,7 +274,7 @@ def tool_adopted_or_stopped(c):
         UNION ALL SELECT repo_id, CASE event WHEN 'stopped' THEN 'Stopped using ' ELSE 'Adopted ' END || tool, idx, phase, marker_pos FROM events_of_tools))
     WHERE rank <= 10""", EXTRA)
 def top_tooling_decisions(c):
-    return technology.tooling_decisions(I.stage(technology.marker_history(c.commits(), c.changes(), c.files()))).select("repo_id", "title", "idx", "rank")
+    return technology.tooling_decisions(I.marker_history(c)).select("repo_id", "title", "idx", "rank")
 
 
 # ---------------------------------------------------------------------- files, documents, releases
@@ -417,9 +417,9 @@ def ci_purposeful_steps(c):
       ('bun run lint', 'lint', 1), ('bun test', 'test', 1), ('bun run check', 'check', 1), ('bun run check', 'lint', 2), ('bun run check', 'test', 3)) s(command, script_name, step)
     USING (command) WHERE p.script_name IS NOT NULL""".replace("SELECT DISTINCT p.repo_id, p.command,", "SELECT DISTINCT p.repo_id, command,"), _CI)
 def resolve_scripts(c):
-    docs = I.stage(I.read_documents(c))
+    docs = I.read_documents(c)
     commands = CI.ci_entries(docs).filter("entry = 'command'").select("repo_id", F.col("value").alias("command")).distinct()
-    scripts = CI.root_scripts(M.ordered_manifests(M.manifest_facts(docs)))
+    scripts = CI.root_scripts(I.ordered_manifests(c))
     return CI.resolve_scripts(commands.join(scripts, "repo_id", "left")).select("repo_id", "command", "script_name", "step")
 
 

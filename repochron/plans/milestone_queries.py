@@ -17,7 +17,6 @@ from repochron.operators import milestones as M
 from repochron.plans import inputs as I
 from repochron.plans import oracle_corpus as O
 from repochron.plans.registry import query
-from repochron.session import stage
 
 _LABEL = "CASE {k} " + " ".join(f"WHEN {O.text(k)} THEN {O.text(v)}" for k, v in rules.KIND_LABELS.items()) + " END"
 _PRIORITY = f"list_position({O.items(rules.KIND_PRIORITY)}, kind)"
@@ -97,13 +96,13 @@ X = {
 
 def _units(c):
     s = I.summaries(c)
-    return s, M.unit_commits(K.with_riding(K.people(s), c.tags()))
+    return s, c.table("units", lambda: M.unit_commits(K.with_riding(K.people(s), c.tags())))
 
 
 def _features(c):
     changes = c.changes()
     s, units = _units(c)
-    return M.unit_features(units, K.commit_topics(s, changes))
+    return c.table("unit_features", lambda: M.unit_features(units, K.commit_topics(s, changes)))
 
 
 @query("ride_along_units", "SELECT repo_id, sha, CAST(unit AS BIGINT) AS unit FROM unit_commits", X)
@@ -124,7 +123,7 @@ def unit_features(c):
 
 @query("adjacent_merge_cost", "SELECT repo_id, unit, next_unit, round(cost, 8) AS cost FROM costs", X)
 def adjacent_merge_cost(c):
-    return M.adjacent_merge_cost(stage(_features(c))).withColumn("cost", F.round("cost", 8))
+    return M.adjacent_merge_cost(_features(c)).withColumn("cost", F.round("cost", 8))
 
 
 @query("milestone_target", "SELECT repo_id, count(*) AS units, max(target) AS target FROM masses GROUP BY repo_id", X)
@@ -190,7 +189,7 @@ def record_ids(c):
     FROM period p GROUP BY ALL""", X)
 def milestone_stats(c):
     changes = c.changes()
-    members = stage(I.period_members(c))
+    members = I.period_members(c)
     stats = M.milestone_stats(members, M.member_changes(M.with_described(members), changes))
     return stats.select("repo_id", "milestone", "commits", "additions", "deletions", "start_at", "end_at", "first_sha", "last_sha", "files_changed")
 
@@ -200,14 +199,14 @@ def milestone_stats(c):
       SELECT *, row_number() OVER (PARTITION BY repo_id, milestone ORDER BY churn DESC, lower(area)) AS rank FROM (
         SELECT repo_id, milestone, {O.area()} AS area, CAST(sum({_CHURN}) AS BIGINT) AS churn FROM period_changes WHERE is_described GROUP BY ALL)) WHERE rank <= 3""", X)
 def milestone_top_areas(c):
-    members = stage(I.period_members(c))
+    members = I.period_members(c)
     return M.top_areas(M.member_changes(M.with_described(members), c.changes())).select("repo_id", "milestone", "area", "churn", "rank")
 
 
 @query("milestone_themes", "SELECT repo_id, milestone, theme, label, round(weight, 6) AS weight FROM theme_rows WHERE weight >= leader * 0.35", X)
 def milestone_themes(c):
     changes = c.changes()
-    members = stage(I.period_members(c))
+    members = I.period_members(c)
     return M.themes(M.with_described(members), K.commit_topics(members, changes)).select("repo_id", "milestone", "theme", "label", F.round("weight", 6).alias("weight"))
 
 
@@ -232,9 +231,9 @@ def milestone_commit_listing(c):
 
 # ---------------------------------------------------------------------- highlighted commits
 def _scored(c):
-    members = stage(I.period_members(c))
+    members = I.period_members(c)
     candidates = highlights.eligible(highlights.commit_context(members, c.tags()))
-    return stage(highlights.commit_score(candidates, decisions.decision_shas(decisions.commit_decisions(members))))
+    return c.table("period_scores", lambda: highlights.commit_score(candidates, decisions.decision_shas(decisions.commit_decisions(members))))
 
 
 @query("commit_context", """

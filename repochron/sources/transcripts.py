@@ -35,16 +35,21 @@ def _text(v: Column) -> Column:
     return F.try_variant_get(v, "$", "string")
 
 
+def _values(v: Column, keys) -> Column:
+    return F.array(*[at(v, k) for k in keys])
+
+
 def first_string(v: Column, keys) -> Column:
-    return F.coalesce(*[F.when(_is(at(v, k), "STRING") & (T.trim(_text(at(v, k))) != ""), T.trim(_text(at(v, k)))) for k in keys])
+    strings = F.transform(F.filter(_values(v, keys), lambda x: _is(x, "STRING")), lambda x: T.trim(_text(x)))
+    return F.try_element_at(F.filter(strings, lambda s: s != ""), F.lit(1))
 
 
 def first_value(v: Column, keys) -> Column:
-    def usable(k: str) -> Column:
-        kind = F.schema_of_variant(at(v, k))
-        return kind.isNotNull() & (kind != "VOID") & ~((kind == "STRING") & (_text(at(v, k)) == ""))
+    def usable(x: Column) -> Column:
+        kind = F.schema_of_variant(x)
+        return (kind != "VOID") & ((kind != "STRING") | (_text(x) != ""))
 
-    return F.coalesce(*[F.when(usable(k), at(v, k)) for k in keys])
+    return F.try_element_at(F.filter(_values(v, keys), usable), F.lit(1))
 
 
 def text_of(v: Column, depth: int = 2) -> Column:
@@ -116,7 +121,7 @@ _EVENT = "struct<kind:string,suffix:string,text:string,command:string,tool:strin
 
 def _event(kind, suffix, text, command=None, tool=None) -> Column:
     lit = lambda v: v if isinstance(v, Column) else F.lit(v)
-    return F.struct(lit(kind).alias("kind"), lit(suffix).alias("suffix"), clip(lit(text)).alias("text"), lit(command).cast("string").alias("command"),
+    return F.struct(lit(kind).alias("kind"), lit(suffix).alias("suffix"), lit(text).alias("text"), lit(command).cast("string").alias("command"),
                     lit(tool).cast("string").alias("tool")).cast(_EVENT)
 
 
@@ -136,7 +141,7 @@ def _parts(content: Column) -> Column:
             F.when(_is(p, "STRING"), _event("text", suffix, _text(p)))
             .when(~_is_record(p) | kind.isin("thinking", "redacted_thinking", "reasoning"), none)
             .when(kind.isin("tool_use", "tool_call", "function_call"), F.when(
-                command.isNotNull(), _event("command", suffix, command, clip(command), tool)).otherwise(
+                command.isNotNull(), _event("command", suffix, command, command, tool)).otherwise(
                 _event("tool", suffix, F.coalesce(F.to_json(call), tool), None, tool)))
             .when(kind.isin("tool_result", "function_call_output"), F.when(result.isNotNull(), _event("result", suffix, result)))
             .when(words.isNotNull(), _event("text", suffix, words)))
@@ -165,7 +170,7 @@ def session_entries(entries: DataFrame) -> DataFrame:
     command = F.coalesce(first_string(e, ["command", "cmd"]), first_string(call, ["command", "cmd"]))
     is_call = F.coalesce(first_string(e, ["type"]).isin("tool_use", "tool_call"), F.lit(False))
     tool = F.coalesce(first_string(e, ["tool", "tool_name", "toolName"]), F.when(is_call, first_string(e, ["name"])))
-    own = F.when(command.isNotNull(), _event("command", "", command, clip(command), tool)).when(
+    own = F.when(command.isNotNull(), _event("command", "", command, command, tool)).when(
         tool.isNotNull(), _event("tool", "", F.coalesce(F.to_json(call), tool), None, tool))
     nested_col = F.col("nested")
     without_message = [k for k in rules.CONTENT_KEYS if k != "message"]
@@ -178,7 +183,8 @@ def session_entries(entries: DataFrame) -> DataFrame:
         "plain": F.when(_as_array(c).isNull(), text_of(c))})
     exit_code = F.coalesce(_present(at(e, "exit_code")), _present(at(e, "exitCode")))
     code = F.when(F.schema_of_variant(exit_code).rlike("^(BIGINT|DOUBLE|DECIMAL)"), F.concat(F.lit("\n(exit code "), _text(exit_code), F.lit(")"))).otherwise("")
-    outputs = F.array_compact(F.array(*[F.when(text_of(at(e, k)).isNotNull(), _event("result", k, F.concat(text_of(at(e, k)), code))) for k in rules.OUTPUT_KEYS]))
+    rows = rows.withColumns({f"_{k}": text_of(at(e, k)) for k in rules.OUTPUT_KEYS}).withColumn("_code", code)
+    outputs = F.array_compact(F.array(*[F.when(F.col(f"_{k}").isNotNull(), _event("result", k, F.concat(f"_{k}", "_code"))) for k in rules.OUTPUT_KEYS]))
     rows = rows.withColumn("outputs", outputs)
 
     texts = F.transform(F.filter("parts", lambda p: p["kind"] == "text"), lambda p: p["text"])
@@ -193,7 +199,7 @@ def session_entries(entries: DataFrame) -> DataFrame:
     return events.select(
         "session_id", (F.col("pos") * 1000 + F.col("sub")).alias("pos"),
         F.when(F.col("v.suffix") == "", F.col("base")).otherwise(F.concat("base", F.lit(":"), F.col("v.suffix"))).alias("id"),
-        "v.kind", "role", "ts", "v.text", "v.command", "v.tool")
+        "v.kind", "role", "ts", clip(F.col("v.text")).alias("text"), clip(F.col("v.command")).alias("command"), "v.tool")
 
 
 # ---------------------------------------------------------------------- plain text transcripts
