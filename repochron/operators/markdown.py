@@ -95,9 +95,11 @@ def list_items(body, first_line) -> Column:
         added = F.array_append(items, F.struct(F.regexp_extract(s, r"^(?:[-*+]|\d+[.)])\s+(.*)\z", 1).alias("raw"), row["line"].alias("line")))
         result = F.when(fence, items).when(bullet, added).when(continued, longer).otherwise(items)
         is_open = F.when(fence, state["open"]).when(bullet, True).when(continued, True).when(closed, False).otherwise(state["open"])
-        return F.struct(fence.alias("fence"), is_open.alias("open"), result.cast(kind).alias("items"))
+        return F.struct(fence.alias("fence"), is_open.alias("open"), result.alias("items"))
 
-    return F.aggregate(numbered, start, step, lambda state: state["items"])
+    # Most sections hold no list at all: one search spares them the fold over their lines.
+    has_bullet = (F.col(body) if isinstance(body, str) else body).rlike(r"(?m)^([-*+]|\d+[.)])\s")
+    return F.when(has_bullet, F.aggregate(numbered, start, step, lambda state: state["items"])).otherwise(F.array().cast(kind))
 
 
 def item_fields(raw: Column) -> tuple[Column, Column]:
@@ -116,8 +118,16 @@ def section_items(sections: DataFrame) -> DataFrame:
 
 
 def section_paragraph_and_items(sections: DataFrame) -> DataFrame:
-    """The first paragraph of each section (item_pos -1) and its list items."""
-    paragraph = first_paragraph("body")
-    paragraphs = sections.withColumn("text", paragraph).filter("text is not null").select(
-        "repo_id", "path", F.col("pos").alias("section_pos"), F.lit(-1).cast("long").alias("item_pos"), "text", F.lit(None).cast("string").alias("lead"), "line")
-    return paragraphs.unionByName(section_items(sections))
+    """The first paragraph of each section (item_pos -1) and its list items, in one pass."""
+    paragraph = F.when(F.col("body") != "", first_paragraph("body"))
+    parts = sections.select(
+        "repo_id", "path", F.col("pos").alias("section_pos"), "line", paragraph.alias("paragraph"), list_items("body", F.col("line") + 1).alias("items"))
+    lead_type = F.lit(None).cast("string")
+    first = F.when(F.col("paragraph").isNotNull(), F.struct(F.lit(-1).cast("long").alias("item_pos"), F.col("paragraph").alias("text"), lead_type.alias("lead"), F.col("line").alias("line")))
+
+    def item(i: Column, n: Column) -> Column:
+        text, lead = item_fields(i["raw"])
+        return F.struct(n.cast("long").alias("item_pos"), text.alias("text"), lead.alias("lead"), i["line"].alias("line"))
+
+    rows = F.concat(F.array_compact(F.array(first)), F.transform("items", item))
+    return parts.select("repo_id", "path", "section_pos", F.explode(rows).alias("r")).select("repo_id", "path", "section_pos", "r.*")
