@@ -103,7 +103,13 @@ class Corpus:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        # Text work is heavy per row.  A single unsplittable file would keep one core busy, so it
+        # is spread; inputs of many files already fill the cluster and are never shuffled here.
+        cores = self.spark.sparkContext.defaultParallelism
+        if name in ("documents", "pages") and df.rdd.getNumPartitions() < cores:
+            return df.repartition(cores)
+        return df
 
     def table(self, name: str, build) -> DataFrame:
         key = (self.spark.sparkContext.applicationId, self.dir, name)
