@@ -301,3 +301,13 @@ def session_debug_notes(c):
 @query("session_debugging", f"SELECT repo_id, session_id, 'Debugging note from `session-' || session_id || '.jsonl`: “' || sentence || '”' AS text FROM ({_NOTES})", _SPOKEN)
 def session_debugging(c):
     return sessions.debugging_findings(c.session_events()).select("repo_id", "session_id", "text")
+
+
+@query("plural", f"SELECT o_orderkey, {O.plural('o_orderkey % 3', 'directory', 'directories')} AS counted FROM orders")
+def plural(c):
+    return c.raw("orders").select("o_orderkey", T.plural(F.col("o_orderkey") % 3, "directory", "directories").alias("counted"))
+
+
+@query("format_date", f"SELECT repo_id, sha, {O.format_date('authored_raw')} AS shown FROM commits")
+def format_date(c):
+    return c.commits().select("repo_id", "sha", T.format_date("authored_raw").alias("shown"))
