@@ -25,6 +25,8 @@ SAMPLE_ROWS = 12_000
 EVIDENCE_WORDS = 200
 #: a word is evidence for a domain from this log ratio and this significance on
 LEAST_RATIO, LEAST_SIGMA = 1.0, 4.0
+#: no word holds a space
+FEW_WORDS = "few words"
 MAX_STEPS = 30
 LEAST_GAIN = 0.02
 TOLERANCE = 1e-6
@@ -44,6 +46,13 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(plain, r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
+def signs_of(words: Column) -> Column:
+    """The distinct words, and a mark of its own for a text that repeats few of them."""
+    distinct = F.array_distinct(words)
+    few = (F.size(words) >= 10) & (F.size(distinct) * 4 < F.size(words))
+    return F.when(few, F.concat(distinct, F.array(F.lit(FEW_WORDS)))).otherwise(distinct)
+
+
 def _value_in(table: Column):
     return lambda word: F.coalesce(F.element_at(table, word), F.lit(0.0))
 
@@ -60,12 +69,12 @@ class Evidence:
     weights: list[list[float]]
     bias: list[float]
 
-    def posterior(self, words: Column) -> Column:
-        """Array of probabilities; depends on the set of evidence words in the text only."""
+    def posterior(self, signs: Column) -> Column:
+        """Array of probabilities; depends on the set of evidence words among the signs of a text only."""
         k = len(self.bias)
         known = F.from_json(F.lit(json.dumps(self.words)), "array<string>")
         # sorted, so that equal sets give bit-equal sums
-        found = F.array_sort(F.array_intersect(known, words)) if self.words else F.array().cast("array<string>")
+        found = F.array_sort(F.array_intersect(known, signs)) if self.words else F.array().cast("array<string>")
         logits = []
         for d in range(k):
             table = {w: ws[d] for w, ws in zip(self.words, self.weights, strict=True) if ws[d] > 0}
@@ -87,7 +96,7 @@ def fit_evidence(docs: DataFrame, labels: DataFrame, *, id_column: str = "doc_id
     texts = docs.select(F.col(id_column).alias("_id"), F.col(text_column).alias("_text"))
     # at most ``sample`` rows of two numbers
     known = texts.join(F.broadcast(chosen), "_id")
-    rows = stage(known.select("_domain", F.array_distinct(words_of(F.col("_text"))).alias("words")))
+    rows = stage(known.select("_domain", signs_of(words_of(F.col("_text"))).alias("words")))
     sizes = {row["_domain"]: row["count"] for row in rows.groupBy("_domain").count().collect()}
     total = sum(sizes.values())
     counts = rows.select("_domain", F.explode("words").alias("word")).groupBy("word").agg(
@@ -214,7 +223,7 @@ def mix_documents(docs: DataFrame, labels: DataFrame, weights: dict[str, float],
     model = fit_evidence(docs, labels, id_column=id_column, text_column=text_column)
 
     def profiled(df: DataFrame) -> DataFrame:
-        return df.withColumn("_words", words_of(F.col(text_column))).withColumn("tokens", F.size("_words").cast("long")).withColumn("_p", model.posterior(F.col("_words"))).drop("_words")
+        return df.withColumn("_words", words_of(F.col(text_column))).withColumn("tokens", F.size("_words").cast("long")).withColumn("_p", model.posterior(signs_of(F.col("_words")))).drop("_words")
 
     profiles = stage(profiled(docs.select(text_column)).groupBy(F.col("_p").alias("p")).agg(F.sum("tokens").alias("tokens")))
     fit = fit_rates(profiles, [weights.get(d, 0.0) for d in DOMAINS])
