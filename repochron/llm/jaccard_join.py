@@ -33,7 +33,10 @@ from repochron.llm.words import LOWER, NOT_SPACE, Run, mixed, runs, split_words
 FREQUENT = 48
 #: most tokens that may lack (d) where frequent tokens are indexed as pairs
 PAIRED = 64
+#: least bits of a parity sketch
 SKETCH = 512
+#: tokens of a head beyond d and a quarter of it
+HEAD = 10
 
 
 def run_sets(run: Run, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -60,12 +63,20 @@ def lacking(n: np.ndarray, num: int, den: int) -> np.ndarray:
     return n - -(-num * n // den)
 
 
+def sketch_bits(n: np.ndarray) -> np.ndarray:
+    """A power of two of at least ``n`` bits."""
+    return SKETCH << np.ceil(np.log2(np.maximum(n, SKETCH) / SKETCH)).astype(np.int64)
+
+
 def _ranks(sizes: np.ndarray) -> np.ndarray:
     return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
 
 def set_table(docs: DataFrame, k: int, num: int, den: int, id_column: str, text_column: str) -> DataFrame:
-    """(_id, _h, n, set_id, prefix, sketch) of every row: size, hash of the set, its first d + 1 tokens by hash."""
+    """(_id, _h, n, set_id, head, sketch) of every row: size, hash of the set, its first tokens by hash.
+
+    A head has the d + 1 tokens of a prefix without frequent tokens, and some more.
+    """
     source = docs.select(F.col(id_column).alias("_id"), F.xxhash64(F.col(text_column)).alias("_h"), F.col(text_column).cast("string").alias("_text"))
     kind = source.schema["_id"].dataType.simpleString()
 
@@ -78,16 +89,18 @@ def set_table(docs: DataFrame, k: int, num: int, den: int, id_column: str, text_
             np.cumsum(mixed(tokens), out=sums[1:])
             ends = np.concatenate([[0], np.cumsum(sizes)])
             ids = mixed(sums[ends[1:]] - sums[ends[:-1]] + sizes.astype(np.uint64))
-            first = _ranks(sizes) <= np.repeat(lacking(sizes, num, den), sizes)
-            parity = (np.bincount(owner * SKETCH + (tokens >> np.uint64(20) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=n * SKETCH) & 1).astype(np.uint8)
-            sketch = np.packbits(parity).view(np.int64)
+            first = _ranks(sizes) < np.repeat(lacking(sizes, num, den) * 5 // 4 + HEAD, sizes)
+            width = sketch_bits(sizes)
+            base = np.cumsum(width) - width
+            place = base[owner] + (tokens >> np.uint64(20) & (width[owner] - 1).astype(np.uint64)).astype(np.int64)
+            sketch = np.packbits((np.bincount(place, minlength=width.sum()) & 1).astype(np.uint8)).view(np.int64)
             rows = batch.slice(run.rows.start, n)
             yield pa.RecordBatch.from_arrays(
                 [rows.column(0), rows.column(1), pa.array(sizes.astype(np.int64)), pa.array(ids.view(np.int64)),
-                 list_of(np.bincount(owner[first], minlength=n), tokens[first].view(np.int64)), list_of(np.full(n, SKETCH // 64), sketch)],
-                ["_id", "_h", "n", "set_id", "prefix", "sketch"])
+                 list_of(np.bincount(owner[first], minlength=n), tokens[first].view(np.int64)), list_of(width // 64, sketch)],
+                ["_id", "_h", "n", "set_id", "head", "sketch"])
 
-    return map_batches(source, over, f"_id {kind}, _h bigint, n bigint, set_id bigint, prefix array<bigint>, sketch array<bigint>")
+    return map_batches(source, over, f"_id {kind}, _h bigint, n bigint, set_id bigint, head array<bigint>, sketch array<bigint>")
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, k: int, text_column: str) -> DataFrame:
@@ -107,52 +120,70 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, k: int, text_column: str) ->
     return found.join(wanted, "_h").select("set_id", "tokens")
 
 
-def plain_entries(classes: DataFrame, frequent, shared) -> DataFrame:
-    """(key, set_id, n, rank): prefix tokens of classes without a frequent one, where the token may be shared."""
+def keys_of(tokens: np.ndarray, often: np.ndarray, n: int, num: int, den: int) -> np.ndarray | None:
+    """Index keys of a set of ``n`` tokens from its first ``tokens`` by hash; None if more of them are needed."""
+    rare, common = tokens[~often], tokens[often]
+    need = int(lacking(np.array(n), num, den)) + 1
+    if len(rare) >= need:
+        return rare[:need]
+    if len(tokens) < n:
+        return None
+    long = PAIRED * den // (den - num)
+    out = [rare]
+    if n * num <= long * den:
+        part = common[:need - len(rare) + 1]
+        i, j = np.triu_indices(len(part), 1)
+        out.append(mixed(part[i] * np.uint64(3) + mixed(part[j])))
+    if n * den >= long * num:
+        out.append(mixed(common[:need - len(rare)] + np.uint64(1)))
+    return np.concatenate(out)
+
+
+def entries_of(sets: DataFrame, frequent, num: int, den: int, shared=None) -> DataFrame:
+    """(key, set_id, n, rank, fresh) from (set_id, n, tokens): the index entries of the sets that these tokens decide.
+
+    rank is the number of rare tokens in the prefix, fresh that the key is not one of the first
+    d + 1 tokens.  With ``shared``, keys outside that bit table are left out.
+    """
 
     def over(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        prefix = batch.column(2)
-        tokens = prefix.flatten().to_numpy().view(np.uint64)
-        sizes = np.diff(prefix.offsets.to_numpy())
-        owner = np.repeat(np.arange(len(sizes)), sizes)
-        hot = np.zeros(len(sizes), bool)
-        hot[owner[in_bits(frequent.value, tokens)]] = True
-        keep = ~hot[owner] & in_bits(shared.value, tokens)
-        rows = pa.array(owner[keep])
-        n = batch.column(1).take(rows)
-        yield pa.RecordBatch.from_arrays([pa.array(tokens[keep].view(np.int64)), batch.column(0).take(rows), n, n], ["key", "set_id", "n", "rank"])
-
-    return map_batches(classes.select("set_id", "n", "prefix"), over, "key bigint, set_id bigint, n bigint, rank bigint")
-
-
-def class_entries(sets: DataFrame, frequent, num: int, den: int) -> DataFrame:
-    """(key, set_id, n, rank): extended prefixes of whole sets; rank is the number of rare tokens."""
-    long = PAIRED * den // (den - num)
+        column = batch.column(2)
+        joined = column.flatten().to_numpy().view(np.uint64)
+        ends = np.concatenate([[0], np.cumsum(np.diff(column.offsets.to_numpy()))])
+        often = in_bits(frequent.value, joined)
+        parts, owner, rank, fresh = [], [], [], []
+        for i, n in enumerate(batch.column(1).to_numpy()):
+            a, b = ends[i], ends[i + 1]
+            need = int(lacking(np.array(n), num, den)) + 1
+            keys = joined[a:a + need] if not often[a:a + need].any() else keys_of(joined[a:b], often[a:b], n, num, den)
+            if keys is None:
+                continue
+            new = np.ones(len(keys), bool)
+            rare = min(need, int((~often[a:b]).sum()))
+            new[:rare] = keys[:rare] > joined[min(a + need, b) - 1]
+            keep = in_bits(shared.value, keys) if shared is not None else np.ones(len(keys), bool)
+            parts.append(keys[keep]), owner.append(np.full(int(keep.sum()), i)), rank.append(np.full(int(keep.sum()), rare)), fresh.append(new[keep])
+        if parts:
+            rows = pa.array(np.concatenate(owner))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(parts).view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(np.concatenate(rank).astype(np.int64)), pa.array(np.concatenate(fresh))],
+                ["key", "set_id", "n", "rank", "fresh"])
+
+    return map_batches(sets, over, "key bigint, set_id bigint, n bigint, rank bigint, fresh boolean")
+
 
-    def keys_of(tokens: np.ndarray) -> tuple[np.ndarray, int]:
-        n = len(tokens)
-        often = in_bits(frequent.value, tokens)
-        rare, common = tokens[~often], tokens[often]
-        need = int(lacking(np.array(n), num, den)) + 1
-        out = [rare[:need]]
-        if len(rare) < need:
-            if n * num <= long * den:
-                part = common[:need - len(rare) + 1]
-                i, j = np.triu_indices(len(part), 1)
-                out.append(mixed(part[i] * np.uint64(3) + mixed(part[j])))
-            if n * den >= long * num:
-                out.append(mixed(common[:need - len(rare)] + np.uint64(1)))
-        return np.concatenate(out), len(rare)
+def undecided(classes: DataFrame, frequent, num: int, den: int) -> DataFrame:
+    """(set_id, _h) of the classes whose heads hold too few rare tokens."""
 
     def over(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        ids = batch.column(0).to_pylist()
-        for i, set_id in enumerate(ids):
-            tokens = np.sort(batch.column(1)[i].values.to_numpy().view(np.uint64))
-            keys, rare = keys_of(tokens)
-            same = lambda v: pa.array(np.full(len(keys), v, np.int64))  # noqa: E731, B023
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), same(set_id), same(len(tokens)), same(rare)], ["key", "set_id", "n", "rank"])
+        head = batch.column(3)
+        sizes = np.diff(head.offsets.to_numpy())
+        often = in_bits(frequent.value, head.flatten().to_numpy().view(np.uint64))
+        rare = np.bincount(np.repeat(np.arange(len(sizes)), sizes), ~often, len(sizes))
+        n = batch.column(2).to_numpy()
+        yield batch.select([0, 1]).filter(pa.array((rare <= lacking(n, num, den)) & (sizes < n)))
 
-    return map_batches(sets.select("set_id", "tokens"), over, "key bigint, set_id bigint, n bigint, rank bigint")
+    return map_batches(classes.select("set_id", "_h", "n", "head"), over, "set_id bigint, _h bigint")
 
 
 def near_in_size(a: Column, b: Column, num: int, den: int) -> Column:
@@ -160,10 +191,15 @@ def near_in_size(a: Column, b: Column, num: int, den: int) -> Column:
 
 
 def near_in_sketch(a: Column, b: Column, n: Column, m: Column, num: int, den: int) -> Column:
-    """Sketches differ in no more bits than the sets may differ in tokens."""
-    bits = F.bit_count(a[0].bitwiseXOR(b[0]))
-    for i in range(1, SKETCH // 64):
-        bits = bits + F.bit_count(a[i].bitwiseXOR(b[i]))
+    """Sketches differ in no more bits than the sets may differ in tokens.
+
+    Sets near in size have sketches of one length or of two that differ by a factor of two; the
+    halves of the longer one are laid over each other then.
+    """
+    size = F.least(F.size(a), F.size(b))
+    differ = lambda x, y: x.bitwiseXOR(y)
+    short = lambda x: F.when(F.size(x) > size, F.zip_with(F.slice(x, F.lit(1), size), F.slice(x, size + 1, size), differ)).otherwise(x)
+    bits = F.aggregate(F.zip_with(short(a), short(b), differ), F.lit(0), lambda t, x: t + F.bit_count(x))
     return bits * (den + num) <= (n + m) * (den - num)
 
 
@@ -205,20 +241,22 @@ def linked_classes(docs: DataFrame, classes: DataFrame, k: int, num: int, den: i
     """(node, comp): components of the classes that have a link."""
     spark = docs.sparkSession
     send = lambda keys, column: spark.sparkContext.broadcast(bits_of(keys, column, bit_count_for(keys.count())))
-    prefix = classes.select(F.explode("prefix").alias("key"), "set_id", "_h")
-    shared = stage(prefix.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1"))
+    need = (F.col("n") - F.ceil(F.col("n") * num / den) + 1).cast("int")
+    shared = stage(classes.select(F.explode(F.slice("head", F.lit(1), need)).alias("key")).groupBy("key").agg(F.count("*").alias("c")).filter("c > 1"))
     often = shared.filter(F.col("c") > FREQUENT).select("key")
     often_bits = send(often, "key")
-    # all tokens of the classes that hold a frequent one decide what is frequent
-    hot = whole_sets(docs, _with_token(classes, often_bits), k, text_column)
-    hot = stage(hot)
+    # sets that frequent tokens fill: all their tokens tell what else is frequent
+    hot = stage(whole_sets(docs, undecided(classes, often_bits, num, den), k, text_column))
     more = hot.select(F.explode("tokens").alias("key")).groupBy("key").agg(F.count("*").alias("c")).filter(F.col("c") > FREQUENT).select("key")
     frequent = send(stage(often.union(more).distinct()), "key")
-    others = _with_token(classes, frequent).join(hot.select("set_id"), "set_id", "left_anti")
-    rest = whole_sets(docs, others, k, text_column)
-    extended = stage(class_entries(hot.union(rest), frequent, num, den))
-    shared_bits = send(stage(shared.select("key").union(extended.select("key")).distinct()), "key")
-    entries = stage(plain_entries(classes, frequent, shared_bits).union(extended))
+    open_ = stage(undecided(classes, frequent, num, den))
+    rest = whole_sets(docs, open_.join(hot.select("set_id"), "set_id", "left_anti"), k, text_column)
+    whole = hot.join(open_.select("set_id"), "set_id", "left_semi").union(rest).select("set_id", F.size("tokens").cast("long").alias("n"), "tokens")
+    extended = stage(entries_of(whole, frequent, num, den))
+    heads = classes.select("set_id", "n", "head")
+    fresh = entries_of(heads, frequent, num, den).filter("fresh").select("key")
+    shared_bits = send(stage(shared.select("key").union(extended.select("key")).union(fresh).distinct()), "key")
+    entries = stage(entries_of(heads, frequent, num, den, shared_bits).union(extended).drop("fresh"))
 
     per_key = entries.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("rank", "set_id", "n")).alias("p")).filter("c > 1")
     pivots = stage(per_key.select("key", F.col("p.set_id").alias("pivot"), F.col("p.n").alias("pivot_n")))
@@ -245,19 +283,6 @@ def linked_classes(docs: DataFrame, classes: DataFrame, k: int, num: int, den: i
     return components(links.union(verified(across, docs, classes, k, num, den, text_column)))
 
 
-def _with_token(classes: DataFrame, table) -> DataFrame:
-    """(set_id, _h) of the classes with a prefix token in the bit table."""
-
-    def over(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        prefix = batch.column(2)
-        sizes = np.diff(prefix.offsets.to_numpy())
-        found = in_bits(table.value, prefix.flatten().to_numpy().view(np.uint64))
-        hit = np.bincount(np.repeat(np.arange(len(sizes)), sizes), found, len(sizes)) > 0
-        yield batch.select([0, 1]).filter(pa.array(hit))
-
-    return map_batches(classes.select("set_id", "_h", "prefix"), over, "set_id bigint, _h bigint")
-
-
 def near_duplicates(docs: DataFrame, *, shingle: int = 5, num: int = 80, den: int = 100, id_column: str = "doc_id", text_column: str = "text", keep_hash: bool = False) -> DataFrame:
     """(id, n_shingles, set_id, component_id): linked if ``den * |A and B| >= num * |A or B|``.
 
@@ -269,7 +294,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, num: int = 80, den: in
     """
     table = stage(set_table(docs, shingle, num, den, id_column, text_column))
     filled = table.filter("n > 0")
-    classes = stage(filled.groupBy("set_id").agg(F.min("_id").alias("least"), *[F.first(c).alias(c) for c in ("_h", "n", "prefix", "sketch")]))
+    classes = stage(filled.groupBy("set_id").agg(F.min("_id").alias("least"), *[F.first(c).alias(c) for c in ("_h", "n", "head", "sketch")]))
     comps = stage(linked_classes(docs, classes, shingle, num, den, text_column))
     known = classes.select("set_id", "least").join(comps, F.col("set_id") == F.col("node"), "left").select("set_id", "least", F.coalesce("comp", "set_id").alias("comp"))
     labels = known.groupBy("comp").agg(F.min("least").alias("component_id"))
