@@ -77,7 +77,7 @@ def shingle_counts(docs: DataFrame, text_column: str, sizes: list[int], table) -
     """(shingle, df): occurrences in all documents, for the shingles in the table."""
 
     def over(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        found = [h for run in runs(batch.column(0)) for _, _, h in _hits(run, split_words(run, ALNUM, LOWER), sizes, table.value)]
+        found = [np.zeros(0, np.uint64)] + [h for run in runs(batch.column(0)) for _, _, h in _hits(run, split_words(run, ALNUM, LOWER), sizes, table.value)]
         values, counts = np.unique(np.concatenate(found), return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts.astype(np.int64))], ["shingle", "df"])
 
