@@ -211,7 +211,7 @@ def copies_of(rate: Column, key: Column) -> Column:
     return F.floor(rate + chance).cast("int")
 
 
-def mix_documents(docs: DataFrame, labels: DataFrame, weights: dict[str, float], *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def mix_documents(docs: DataFrame, labels: DataFrame, weights: dict[str, float], *, id_column: str = "doc_id", text_column: str = "text", keep_text: bool = True) -> DataFrame:
     """``docs`` with (tokens, p_plain, p_low, p_toxic, rate, copies); ``weights`` by domain name.
 
     A null or empty text has no tokens and the posterior of a text without evidence.  Repeated
@@ -222,10 +222,10 @@ def mix_documents(docs: DataFrame, labels: DataFrame, weights: dict[str, float],
     docs = docs.drop(*names)
     model = fit_evidence(docs, labels, id_column=id_column, text_column=text_column)
 
-    def profiled(df: DataFrame) -> DataFrame:
-        return df.withColumn("_words", words_of(F.col(text_column))).withColumn("tokens", F.size("_words").cast("long")).withColumn("_p", model.posterior(signs_of(F.col("_words")))).drop("_words")
-
-    profiles = stage(profiled(docs.select(text_column)).groupBy(F.col("_p").alias("p")).agg(F.sum("tokens").alias("tokens")))
+    # the texts are split once; what follows reads the written table
+    marked = docs.withColumn("_words", words_of(F.col(text_column))).withColumn("tokens", F.size("_words").cast("long")).withColumn("_p", model.posterior(signs_of(F.col("_words")))).drop("_words")
+    marked = stage(marked if keep_text else marked.drop(text_column))
+    profiles = stage(marked.groupBy(F.col("_p").alias("p")).agg(F.sum("tokens").alias("tokens")))
     fit = fit_rates(profiles, [weights.get(d, 0.0) for d in DOMAINS])
-    rated = profiled(docs).withColumn("rate", rate_of(F.col("_p"), fit.steps))
-    return rated.select(*docs.columns, "tokens", *[F.col("_p")[i].alias(f"p_{d}") for i, d in enumerate(DOMAINS)], "rate", copies_of(F.col("rate"), F.col(id_column)).alias("copies"))
+    rated = marked.withColumn("rate", rate_of(F.col("_p"), fit.steps))
+    return rated.select(*[c for c in docs.columns if keep_text or c != text_column], "tokens", *[F.col("_p")[i].alias(f"p_{d}") for i, d in enumerate(DOMAINS)], "rate", copies_of(F.col("rate"), F.col(id_column)).alias("copies"))

@@ -59,7 +59,7 @@ def jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mix_documents(docs, read(spark, sf_dir, "labels"), MIX).drop("text")
+    return mix_documents(docs, read(spark, sf_dir, "labels"), MIX, keep_text=False)
 
 
 def sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
