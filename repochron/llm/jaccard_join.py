@@ -35,6 +35,8 @@ FREQUENT = 48
 PAIRED = 64
 #: least bits of a parity sketch
 SKETCH = 512
+#: bits of the sketch that index entries carry along
+MINI = 256
 #: tokens of a head beyond d and a quarter of it
 HEAD = 10
 
@@ -68,12 +70,23 @@ def sketch_bits(n: np.ndarray) -> np.ndarray:
     return SKETCH << np.ceil(np.log2(np.maximum(n, SKETCH) / SKETCH)).astype(np.int64)
 
 
+MINIS = [f"m{i}" for i in range(MINI // 64)]
+MINI_SCHEMA = ", ".join(f"{m} bigint" for m in MINIS)
+
+
+def mini_sketch(tokens: np.ndarray, owner: np.ndarray, n: int) -> list[pa.Array]:
+    """The parity sketches of ``MINI`` bits of ``n`` sets, a column for each 64 bits."""
+    place = owner * MINI + (tokens >> np.uint64(20) & np.uint64(MINI - 1)).astype(np.int64)
+    words = np.packbits((np.bincount(place, minlength=n * MINI) & 1).astype(np.uint8)).view(np.int64).reshape(n, -1)
+    return [pa.array(np.ascontiguousarray(words[:, i])) for i in range(MINI // 64)]
+
+
 def _ranks(sizes: np.ndarray) -> np.ndarray:
     return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
 
 def set_table(docs: DataFrame, k: int, num: int, den: int, id_column: str, text_column: str) -> DataFrame:
-    """(_id, _h, n, set_id, head, sketch) of every row: size, hash of the set, its first tokens by hash.
+    """(_id, _h, n, set_id, head, sketch, m0...) of every row: size, hash of the set, its first tokens by hash.
 
     A head has the d + 1 tokens of a prefix without frequent tokens, and some more.
     """
@@ -90,6 +103,7 @@ def set_table(docs: DataFrame, k: int, num: int, den: int, id_column: str, text_
             ends = np.concatenate([[0], np.cumsum(sizes)])
             ids = mixed(sums[ends[1:]] - sums[ends[:-1]] + sizes.astype(np.uint64))
             first = _ranks(sizes) < np.repeat(lacking(sizes, num, den) * 5 // 4 + HEAD, sizes)
+            mini = mini_sketch(tokens, owner, n)
             width = sketch_bits(sizes)
             base = np.cumsum(width) - width
             place = base[owner] + (tokens >> np.uint64(20) & (width[owner] - 1).astype(np.uint64)).astype(np.int64)
@@ -97,10 +111,10 @@ def set_table(docs: DataFrame, k: int, num: int, den: int, id_column: str, text_
             rows = batch.slice(run.rows.start, n)
             yield pa.RecordBatch.from_arrays(
                 [rows.column(0), rows.column(1), pa.array(sizes.astype(np.int64)), pa.array(ids.view(np.int64)),
-                 list_of(np.bincount(owner[first], minlength=n), tokens[first].view(np.int64)), list_of(width // 64, sketch)],
-                ["_id", "_h", "n", "set_id", "head", "sketch"])
+                 list_of(np.bincount(owner[first], minlength=n), tokens[first].view(np.int64)), list_of(width // 64, sketch), *mini],
+                ["_id", "_h", "n", "set_id", "head", "sketch", *MINIS])
 
-    return map_batches(source, over, f"_id {kind}, _h bigint, n bigint, set_id bigint, head array<bigint>, sketch array<bigint>")
+    return map_batches(source, over, f"_id {kind}, _h bigint, n bigint, set_id bigint, head array<bigint>, sketch array<bigint>, {MINI_SCHEMA}")
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, k: int, text_column: str) -> DataFrame:
@@ -140,7 +154,7 @@ def keys_of(tokens: np.ndarray, often: np.ndarray, n: int, num: int, den: int) -
 
 
 def entries_of(sets: DataFrame, frequent, num: int, den: int, shared=None) -> DataFrame:
-    """(key, set_id, n, rank, fresh) from (set_id, n, tokens): the index entries of the sets that these tokens decide.
+    """(key, set_id, n, m0..., rank, fresh) from (set_id, n, tokens, m0...): the index entries of the sets that these tokens decide.
 
     rank is the number of rare tokens in the prefix, fresh that the key is not one of the first
     d + 1 tokens.  With ``shared``, keys outside that bit table are left out.
@@ -166,10 +180,11 @@ def entries_of(sets: DataFrame, frequent, num: int, den: int, shared=None) -> Da
         if parts:
             rows = pa.array(np.concatenate(owner))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(parts).view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(np.concatenate(rank).astype(np.int64)), pa.array(np.concatenate(fresh))],
-                ["key", "set_id", "n", "rank", "fresh"])
+                [pa.array(np.concatenate(parts).view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows), *[c.take(rows) for c in batch.columns[3:]],
+                 pa.array(np.concatenate(rank).astype(np.int64)), pa.array(np.concatenate(fresh))],
+                ["key", "set_id", "n", *MINIS, "rank", "fresh"])
 
-    return map_batches(sets, over, "key bigint, set_id bigint, n bigint, rank bigint, fresh boolean")
+    return map_batches(sets, over, f"key bigint, set_id bigint, n bigint, {MINI_SCHEMA}, rank bigint, fresh boolean")
 
 
 def undecided(classes: DataFrame, frequent, num: int, den: int) -> DataFrame:
@@ -251,16 +266,18 @@ def linked_classes(docs: DataFrame, classes: DataFrame, k: int, num: int, den: i
     frequent = send(stage(often.union(more).distinct()), "key")
     open_ = stage(undecided(classes, frequent, num, den))
     rest = whole_sets(docs, open_.join(hot.select("set_id"), "set_id", "left_anti"), k, text_column)
-    whole = hot.join(open_.select("set_id"), "set_id", "left_semi").union(rest).select("set_id", F.size("tokens").cast("long").alias("n"), "tokens")
+    whole = hot.join(open_.select("set_id"), "set_id", "left_semi").union(rest).select("set_id", F.size("tokens").cast("long").alias("n"), "tokens").join(classes.select("set_id", *MINIS), "set_id")
     extended = stage(entries_of(whole, frequent, num, den))
-    heads = classes.select("set_id", "n", "head")
+    heads = classes.select("set_id", "n", "head", *MINIS)
     fresh = entries_of(heads, frequent, num, den).filter("fresh").select("key")
     shared_bits = send(stage(shared.select("key").union(extended.select("key")).union(fresh).distinct()), "key")
     entries = stage(entries_of(heads, frequent, num, den, shared_bits).union(extended).drop("fresh"))
 
-    per_key = entries.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("rank", "set_id", "n")).alias("p")).filter("c > 1")
-    pivots = stage(per_key.select("key", F.col("p.set_id").alias("pivot"), F.col("p.n").alias("pivot_n")))
-    star = entries.join(pivots, "key").filter((F.col("set_id") != F.col("pivot")) & near_in_size(F.col("n"), F.col("pivot_n"), num, den))
+    per_key = entries.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("rank", "set_id", "n", *MINIS)).alias("p")).filter("c > 1")
+    pivots = stage(per_key.select("key", F.col("p.set_id").alias("pivot"), F.col("p.n").alias("pivot_n"), *[F.col(f"p.{m}").alias(f"p{m}") for m in MINIS]))
+    differ = sum((F.bit_count(F.col(m).bitwiseXOR(F.col(f"p{m}"))) for m in MINIS[1:]), F.bit_count(F.col("m0").bitwiseXOR(F.col("pm0"))))
+    star = entries.join(pivots, "key").filter((F.col("set_id") != F.col("pivot")) & near_in_size(F.col("n"), F.col("pivot_n"), num, den)
+                                              & (differ * (den + num) <= (F.col("n") + F.col("pivot_n")) * (den - num)))
     sketches = classes.select("set_id", "n", "sketch")
     side = lambda s: sketches.select(F.col("set_id").alias(s), F.col("n").alias(f"n{s}"), F.col("sketch").alias(f"s{s}"))
     close = near_in_sketch(F.col("sa"), F.col("sb"), F.col("na"), F.col("nb"), num, den)
@@ -294,7 +311,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, num: int = 80, den: in
     """
     table = stage(set_table(docs, shingle, num, den, id_column, text_column))
     filled = table.filter("n > 0")
-    classes = stage(filled.groupBy("set_id").agg(F.min("_id").alias("least"), *[F.first(c).alias(c) for c in ("_h", "n", "head", "sketch")]))
+    classes = stage(filled.groupBy("set_id").agg(F.min("_id").alias("least"), *[F.first(c).alias(c) for c in ("_h", "n", "head", "sketch", *MINIS)]))
     comps = stage(linked_classes(docs, classes, shingle, num, den, text_column))
     known = classes.select("set_id", "least").join(comps, F.col("set_id") == F.col("node"), "left").select("set_id", "least", F.coalesce("comp", "set_id").alias("comp"))
     labels = known.groupBy("comp").agg(F.min("least").alias("component_id"))
