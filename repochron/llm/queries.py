@@ -81,4 +81,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_jaccard_join": jaccard, "op7_mixing": mixing, "op8_sharding": sharding, "op9_context_tree": language_model, "op10_chat": chat,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_url_filter": r"""
+WITH parts AS (
+  SELECT page_id, lower(COALESCE(regexp_extract(url, '://([^/?#]*)', 1), '')) AS host, COALESCE(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+rules(rule_host, rule_path, action) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block'))
+SELECT page_id, host, path, arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule, COALESCE(arg_max(action, length(rule_host || rule_path)), 'allow') AS verdict
+FROM parts LEFT JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+GROUP BY page_id, host, path""",
+}
