@@ -218,6 +218,22 @@ def near_in_sketch(a: Column, b: Column, n: Column, m: Column, num: int, den: in
     return bits * (den + num) <= (n + m) * (den - num)
 
 
+def carried(sketch: Column, n: Column, num: int, den: int) -> Column:
+    """A sketch folded to the bits that tell unrelated sets of ``n`` tokens apart: over twice what linked ones may differ in.
+
+    Lengths stay powers of two, and those of sets near in size one length or two that differ by a
+    factor of two, as ``near_in_sketch`` takes them.
+    """
+    least = n * (5 * (den - num)) / F.lit(64 * (den + num))
+    length = F.lit(MINI // 64)
+    for words in (MINI // 64 << i for i in range(24)):
+        length = F.when(least > words, F.lit(2 * words)).otherwise(length)
+    length = F.least(length, F.size(sketch))
+    part = lambda i: F.slice(sketch, i * length + 1, length)
+    fold = F.aggregate(F.sequence(F.lit(1), F.floor(F.size(sketch) / length).cast("int") - 1), part(F.lit(0)), lambda t, i: F.zip_with(t, part(i), lambda x, y: x.bitwiseXOR(y)))
+    return F.when(F.size(sketch) > length, fold).otherwise(sketch)
+
+
 def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, num: int, den: int, text_column: str) -> DataFrame:
     """The pairs (a, b) that link, by their whole sets; staged."""
     pairs = stage(pairs)
@@ -291,12 +307,14 @@ def linked_classes(docs: DataFrame, classes: DataFrame, k: int, num: int, den: i
     members = comp(comp(members, "set_id", "comp"), "pivot", "pivot_comp")
     members = stage(members.select("key", "set_id", "comp", (F.col("comp") == F.col("pivot_comp")).alias("with_pivot")))
     open_keys = members.filter("not with_pivot").select("key").distinct()
-    rows = stage(members.join(open_keys, "key", "left_semi").join(sketches, "set_id"))
+    small = classes.select("set_id", "n", carried(F.col("sketch"), F.col("n"), num, den).alias("sketch"))
+    rows = stage(members.join(open_keys, "key", "left_semi").join(small, "set_id"))
     right = rows.select("key", *[F.col(c).alias(f"r_{c}") for c in ("set_id", "comp", "with_pivot", "n", "sketch")])
     across = rows.filter("not with_pivot").join(right, "key").filter(
         (F.col("comp") != F.col("r_comp")) & (F.col("r_with_pivot") | (F.col("set_id") < F.col("r_set_id"))) & near_in_size(F.col("n"), F.col("r_n"), num, den)
         & near_in_sketch(F.col("sketch"), F.col("r_sketch"), F.col("n"), F.col("r_n"), num, den))
     across = across.select(F.least("set_id", "r_set_id").alias("a"), F.greatest("set_id", "r_set_id").alias("b")).distinct()
+    across = across.join(side("a"), "a").join(side("b"), "b").filter(close).select("a", "b")
     return components(links.union(verified(across, docs, classes, k, num, den, text_column)))
 
 
