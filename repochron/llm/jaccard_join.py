@@ -11,17 +11,19 @@ missing in the other set, and what it shares lies inside the other prefix as wel
 sets near that size are indexed both ways.
 
 Candidates are never expanded inside a group at once.  First every key links its members to
-one pivot, the member with the fewest rare tokens; what is verified forms components.  Then
-only members outside the pivot's component meet the others, and only across components.  A
+one pivot, the member with the fewest rare tokens; what is verified forms components.  Then,
+for keys of three members or more, those outside the pivot's component meet the others but the
+pivot, and only across components.  A
 512-bit parity sketch bounds the symmetric difference from below, so pairs are dropped before
 their sets are fetched, and never one that links.  What is left is verified on the whole sets.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -71,6 +73,8 @@ def sketch_bits(n: np.ndarray) -> np.ndarray:
 
 
 MINIS = [f"m{i}" for i in range(MINI // 64)]
+#: what a class keeps of one of its rows
+CARRIED = ["_h", "n", "head", "sketch", *MINIS]
 MINI_SCHEMA = ", ".join(f"{m} bigint" for m in MINIS)
 
 
@@ -134,6 +138,17 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, k: int, text_column: str) ->
     return found.join(wanted, "_h").select("set_id", "tokens")
 
 
+def may_be_in(keys: DataFrame, column: str) -> Callable[[Column], Column]:
+    """A test of 64-bit hashes against a bit table of bounded size: true for all in ``keys``, and for few others."""
+    table = keys.sparkSession.sparkContext.broadcast(bits_of(keys, column, bit_count_for(keys.count())))
+
+    @F.pandas_udf("boolean")
+    def test(hashes: pd.Series) -> pd.Series:
+        return pd.Series(in_bits(table.value, hashes.to_numpy(np.int64).view(np.uint64)))
+
+    return test
+
+
 def keys_of(tokens: np.ndarray, often: np.ndarray, n: int, num: int, den: int) -> np.ndarray | None:
     """Index keys of a set of ``n`` tokens from its first ``tokens`` by hash; None if more of them are needed."""
     rare, common = tokens[~often], tokens[often]
@@ -289,22 +304,24 @@ def linked_classes(docs: DataFrame, classes: DataFrame, k: int, num: int, den: i
     shared_bits = send(stage(shared.select("key").union(extended.select("key")).union(fresh).distinct()), "key")
     entries = stage(entries_of(heads, frequent, num, den, shared_bits).union(extended).drop("fresh"))
 
-    per_key = entries.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("rank", "set_id", "n", *MINIS)).alias("p")).filter("c > 1")
-    pivots = stage(per_key.select("key", F.col("p.set_id").alias("pivot"), F.col("p.n").alias("pivot_n"), *[F.col(f"p.{m}").alias(f"p{m}") for m in MINIS]))
+    per_key = entries.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("rank", "set_id", "n")).alias("p")).filter("c > 1")
+    pivots = per_key.select("key", (F.col("c") > 2).alias("several"), F.col("p.set_id").alias("pivot"), F.col("p.n").alias("pivot_n"))
+    pivots = stage(pivots.join(classes.select(F.col("set_id").alias("pivot"), *[F.col(m).alias(f"p{m}") for m in MINIS]), "pivot"))
     differ = sum((F.bit_count(F.col(m).bitwiseXOR(F.col(f"p{m}"))) for m in MINIS[1:]), F.bit_count(F.col("m0").bitwiseXOR(F.col("pm0"))))
-    star = entries.join(pivots, "key").filter((F.col("set_id") != F.col("pivot")) & near_in_size(F.col("n"), F.col("pivot_n"), num, den)
-                                              & (differ * (den + num) <= (F.col("n") + F.col("pivot_n")) * (den - num)))
+    near = near_in_size(F.col("n"), F.col("pivot_n"), num, den) & (differ * (den + num) <= (F.col("n") + F.col("pivot_n")) * (den - num))
+    met = entries.join(pivots, "key").filter("set_id <> pivot").select("key", "set_id", "pivot", "several", near.alias("near"))
+    met = stage(met.filter("near or several"))
     sketches = classes.select("set_id", "n", "sketch")
     side = lambda s: sketches.select(F.col("set_id").alias(s), F.col("n").alias(f"n{s}"), F.col("sketch").alias(f"s{s}"))
     close = near_in_sketch(F.col("sa"), F.col("sb"), F.col("na"), F.col("nb"), num, den)
-    star = star.select(F.least("set_id", "pivot").alias("a"), F.greatest("set_id", "pivot").alias("b")).distinct()
+    star = met.filter("near").select(F.least("set_id", "pivot").alias("a"), F.greatest("set_id", "pivot").alias("b")).distinct()
     star = star.join(side("a"), "a").join(side("b"), "b").filter(close).select("a", "b")
     links = verified(star, docs, classes, k, num, den, text_column)
 
     first = components(links)
-    members = entries.join(pivots, "key").select("key", "set_id", "pivot")
     comp = lambda df, of, name: df.join(first.select(F.col("node").alias(of), F.col("comp").alias(name)), of, "left").withColumn(name, F.coalesce(name, of))
-    members = comp(comp(members, "set_id", "comp"), "pivot", "pivot_comp")
+    # all pairs with a pivot are decided: only keys of other members as well are looked at again
+    members = comp(comp(met.filter("several").select("key", "set_id", "pivot"), "set_id", "comp"), "pivot", "pivot_comp")
     members = stage(members.select("key", "set_id", "comp", (F.col("comp") == F.col("pivot_comp")).alias("with_pivot")))
     open_keys = members.filter("not with_pivot").select("key").distinct()
     small = classes.select("set_id", "n", carried(F.col("sketch"), F.col("n"), num, den).alias("sketch"))
@@ -329,7 +346,11 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, num: int = 80, den: in
     """
     table = stage(set_table(docs, shingle, num, den, id_column, text_column))
     filled = table.filter("n > 0")
-    classes = stage(filled.groupBy("set_id").agg(F.min("_id").alias("least"), *[F.first(c).alias(c) for c in ("_h", "n", "head", "sketch", *MINIS)]))
+    twice = stage(filled.groupBy("set_id").agg(F.count("*").alias("c")).filter("c > 1").select("set_id"))
+    repeated = may_be_in(twice, "set_id")(F.col("set_id"))
+    single = filled.filter(~repeated).select("set_id", F.col("_id").alias("least"), *CARRIED)
+    several = filled.filter(repeated).groupBy("set_id").agg(F.min("_id").alias("least"), *[F.first(c).alias(c) for c in CARRIED])
+    classes = stage(single.union(several))
     comps = stage(linked_classes(docs, classes, shingle, num, den, text_column))
     known = classes.select("set_id", "least").join(comps, F.col("set_id") == F.col("node"), "left").select("set_id", "least", F.coalesce("comp", "set_id").alias("comp"))
     labels = known.groupBy("comp").agg(F.min("least").alias("component_id"))
