@@ -185,7 +185,10 @@ def inclusive_days(first_raw, last_raw) -> Column:
 
 
 def instant_ms(raw) -> Column:
-    return F.unix_millis(_column(raw).try_cast("timestamp"))
+    """Milliseconds of an ISO text; a time without a zone is UTC, whatever the session time zone is."""
+    r = F.regexp_replace(_column(raw), r"([T ]\d{1,2}:\d{2})(?=[Zz+-]|\z)", "$1:00")
+    zoned = F.when(r.rlike(r"^\d{4}-\d{2}-\d{2}\z"), F.concat(r, F.lit("T00:00:00Z"))).when(r.rlike(r"[T ][\d:.]+\z"), F.concat(r, F.lit("Z"))).otherwise(r)
+    return F.unix_millis(zoned.try_cast("timestamp"))
 
 
 def iso_from_ms(ms) -> Column:
@@ -202,5 +205,5 @@ def normalize_timestamp(value) -> Column:
     ms = F.when(number < 1e12, number * 1000).otherwise(number)
     is_number = v.rlike(r"^[0-9.eE+]+\z") & (number > 0) & (number < 8.64e15)
     iso = F.regexp_replace(v, r"^(\d{4}-\d{2}-\d{2}) ", "$1T")
-    parsed = F.when(v.rlike(r"^\d{4}-\d{2}-\d{2}"), F.unix_millis(iso.try_cast("timestamp")))
+    parsed = F.when(v.rlike(r"^\d{4}-\d{2}-\d{2}"), instant_ms(iso))
     return F.when(is_number, iso_from_ms(F.floor(ms))).otherwise(iso_from_ms(parsed))

@@ -30,6 +30,15 @@ def select_documents(files: DataFrame) -> DataFrame:
 
 
 def documents(files: DataFrame, blobs: DataFrame) -> DataFrame:
-    """Text of the files to read; the selection runs before any content is joined."""
+    """Text of the files to read; the selection runs before any content is joined.  Binary files have none."""
+    return _contents(files, blobs).filter("text is not null")
+
+
+def binary_documents(files: DataFrame, blobs: DataFrame) -> DataFrame:
+    """(repo_id, path, reason) of files to read whose content is not text."""
+    return _contents(files, blobs).filter("text is null").select("repo_id", "path", F.lit("binary").alias("reason"))
+
+
+def _contents(files: DataFrame, blobs: DataFrame) -> DataFrame:
     wanted = select_documents(files).filter("outcome = 'read'").select("repo_id", "path", "priority", "object_id")
     return wanted.join(blobs, ["repo_id", "object_id"]).select("repo_id", "path", "priority", "text")

@@ -116,6 +116,8 @@ def scan_session_json(sessions: DataFrame) -> DataFrame:
         "session_id", (F.col("i") + 1).cast("long").alias("pos"), F.concat(F.lit("entry "), F.col("i") + 1).alias("position"), "entry")
 
 
+#: more parts than an array can have, so no two events of a session share a position
+PARTS = 1 << 32
 _EVENT = "struct<kind:string,suffix:string,text:string,command:string,tool:string>"
 
 
@@ -197,7 +199,7 @@ def session_entries(entries: DataFrame) -> DataFrame:
     whole = F.when(_is(e, "STRING"), F.when(T.trim(_text(e)) != "", F.array(_event("message", "", _text(e))))).otherwise(F.concat("earlier", placed))
     events = rows.select("session_id", "pos", "base", "role", "ts", F.posexplode(whole).alias("sub", "v"))
     return events.select(
-        "session_id", (F.col("pos") * 1000 + F.col("sub")).alias("pos"),
+        "session_id", (F.col("pos") * PARTS + F.col("sub")).alias("pos"),
         F.when(F.col("v.suffix") == "", F.col("base")).otherwise(F.concat("base", F.lit(":"), F.col("v.suffix"))).alias("id"),
         "v.kind", "role", "ts", clip(F.col("v.text")).alias("text"), clip(F.col("v.command")).alias("command"), "v.tool")
 

@@ -104,3 +104,38 @@ def test_accepted_sentences_equal_a_plain_fold(spark):
         expected += taken
     got = sessions.accepted_sentences(df).select("repo_id", "session_id", "pos", "spos", "key").collect()
     assert sorted(tuple(r) for r in got) == sorted(expected)
+
+
+def test_more_than_a_thousand_parts_keep_their_order(spark):
+    from repochron.sources import transcripts as X
+
+    parts = ", ".join('{"type": "tool_use", "name": "Bash", "input": {"command": "c%d"}}' % i for i in range(1005))
+    text = '[{"id": "a", "role": "assistant", "content": [%s]}, {"id": "b", "role": "user", "content": "done"}]' % parts
+    rows = X.session_entries(X.scan_session_json(spark.createDataFrame([(1, text)], "session_id long, text string"))).orderBy("pos").collect()
+    assert len({r["pos"] for r in rows}) == 1006
+    assert [r["command"] for r in rows[:1005]] == [f"c{i}" for i in range(1005)] and rows[-1]["text"] == "done"
+
+
+def test_binary_documents_are_skipped(spark):
+    from repochron.operators import ci, documents
+
+    files = spark.createDataFrame([(1, ".github/workflows/a.yml", 9, "x", "file"), (1, "README.md", 9, "y", "file")], "repo_id long, path string, size long, object_id string, kind string")
+    blobs = spark.createDataFrame([(1, "x", None), (1, "y", "# Title")], "repo_id long, object_id string, text string")
+    assert [tuple(r) for r in documents.binary_documents(files, blobs).collect()] == [(1, ".github/workflows/a.yml", "binary")]
+    read = documents.documents(files, blobs)
+    assert [r["path"] for r in read.collect()] == ["README.md"] and ci.ci_entries(read).count() == 0
+
+
+def test_times_without_a_zone_are_utc(spark):
+    from pyspark.sql import functions as F
+
+    from repochron.functions import text as T
+
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        raw = spark.createDataFrame([("2024-05-01T10:30",), ("2024-05-01 10:30:05.25",), ("2024-05-01",), ("2024-05-01T10:30+02:00",), ("2024-05-01T10:30Z",)], "v string")
+        got = [r[0] for r in raw.select(T.normalize_timestamp(F.col("v"))).collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert got == ["2024-05-01T10:30:00.000Z", "2024-05-01T10:30:05.250Z", "2024-05-01T00:00:00.000Z", "2024-05-01T08:30:00.000Z", "2024-05-01T10:30:00.000Z"]
