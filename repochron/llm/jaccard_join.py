@@ -342,7 +342,8 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, num: int = 80, den: in
     its words; a text without words, or null, has no shingles, a null set_id and is its own
     component.  component_id is the least id of all rows of the linked classes (nulls only if
     there is no other).  Repeated rows have equal results; an empty table gives an empty result.
-    Other columns are not looked at.
+    Other columns are not looked at.  ``keep_hash`` adds the text hash (_h) and the least set_id of the
+    linked classes (_comp, null without shingles), which tells components apart where ids do not.
     """
     table = stage(set_table(docs, shingle, num, den, id_column, text_column))
     filled = table.filter("n > 0")
@@ -354,10 +355,10 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, num: int = 80, den: in
     comps = stage(linked_classes(docs, classes, shingle, num, den, text_column))
     known = classes.select("set_id", "least").join(comps, F.col("set_id") == F.col("node"), "left").select("set_id", "least", F.coalesce("comp", "set_id").alias("comp"))
     labels = known.groupBy("comp").agg(F.min("least").alias("component_id"))
-    per_set = known.join(labels, "comp").select(F.col("set_id").alias("_set"), "component_id")
+    per_set = known.join(labels, "comp").select(F.col("set_id").alias("_set"), "component_id", F.col("comp").alias("_comp"))
     out = table.select("_id", "_h", "n", F.when(F.col("n") > 0, F.col("set_id")).alias("set_id"))
     return out.join(per_set, F.col("set_id") == F.col("_set"), "left").select(
-        F.col("_id").alias(id_column), F.col("n").alias("n_shingles"), "set_id", F.coalesce("component_id", "_id").alias("component_id"), *(["_h"] if keep_hash else []))
+        F.col("_id").alias(id_column), F.col("n").alias("n_shingles"), "set_id", F.coalesce("component_id", "_id").alias("component_id"), *(["_h", "_comp"] if keep_hash else []))
 
 
 def one_of_each(docs: DataFrame, *, shingle: int = 5, num: int = 80, den: int = 100, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -366,12 +367,14 @@ def one_of_each(docs: DataFrame, *, shingle: int = 5, num: int = 80, den: int =
     Rows without words are groups of their own; rows that repeat with one id and text are one.
     """
     table = near_duplicates(docs, shingle=shingle, num=num, den=den, id_column=id_column, text_column=text_column, keep_hash=True)
-    rows = stage(table.groupBy(id_column, "_h", "component_id", (F.col("n_shingles") == 0).alias("bare")).agg(F.count("*").alias("n")))
-    first = rows.filter("not bare").groupBy("component_id").agg(F.min(F.struct(id_column, "_h")).alias("first"))
-    marked = rows.join(first.select(F.col("component_id").alias("_c"), "first"), F.col("component_id").eqNullSafe(F.col("_c")) & ~F.col("bare"), "left")
-    kept = F.col("bare") | F.struct(id_column, "_h").eqNullSafe(F.col("first"))
+    rows = stage(table.groupBy(id_column, "_h", "_comp").agg(F.count("*").alias("n")))
+    filled = rows.filter("_comp is not null")
+    first = filled.groupBy("_comp").agg(F.min(F.struct(id_column, "_h")).alias("first"))
+    kept = F.struct(id_column, "_h").eqNullSafe(F.col("first"))
+    marked = filled.join(first, "_comp").select(id_column, "_h", "n", kept.alias("_kept"))
+    bare = rows.filter("_comp is null").select(id_column, "_h", "n", F.lit(True).alias("_kept"))
     # few rows as a rule, and written, so that the joins know their size
-    leaves = stage(marked.filter(~kept | (F.col("n") > 1)).select(F.col(id_column).alias("_id"), F.col("_h").alias("_g"), kept.alias("_kept")))
+    leaves = stage(marked.union(bare).filter("not _kept or n > 1").select(F.col(id_column).alias("_id"), F.col("_h").alias("_g"), "_kept"))
     hashed = docs.withColumn("_h", F.xxhash64(F.col(text_column)))
     same = F.col(id_column).eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_g"))
     single = hashed.join(leaves, same, "left_anti")

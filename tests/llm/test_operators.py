@@ -170,6 +170,13 @@ def test_one_of_each(docs):
     assert kept.columns == docs.columns and jaccard_join.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_one_of_each_where_ids_do_not_tell_components_apart(spark):
+    apple, pear, plum, fig = (" ".join(f"{fruit}{i}" for i in range(30)) for fruit in ("apple", "pear", "plum", "fig"))
+    rows = [(None, apple), (None, pear), (None, pear), ("a", plum), ("a", fig), ("b", fig), ("c", plum + " more"), (None, None), ("d", "")]
+    kept = jaccard_join.one_of_each(spark.createDataFrame(rows, "doc_id string, text string"))
+    assert Counter(map(tuple, kept.collect())) == Counter([(None, apple), (None, pear), ("a", plum), ("a", fig), (None, None), ("d", "")])
+
+
 def test_mixing(docs, labels):
     rows = mixing.mix_documents(docs, labels, {"plain": 0.9, "low": 0.05, "toxic": 0.05}).collect()
     assert len(rows) == docs.count()
