@@ -8,13 +8,15 @@ that one side lacks) or repeated groups (a unit that one side holds several time
 
 Each task folds the pages of a host into one wrapper, and the partial wrappers of a host meet
 in two rounds, salted in the first, so no task reads the pages of a large host.  What stays
-constant over different pages is template text; blocks of a container full of links, and
+constant over different pages is template text, whatever its length and also as one member of a
+repeated group whose other members differ (texts are compared by 64-bit hashes); blocks of a container full of links, and
 those in menus, headers, footers, sidebars, notices, adverts, forms and comments, are not
 content either.  If the wrapper has an article, only what lies inside it is.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import json
 import re
@@ -131,21 +133,32 @@ def stream(page: str) -> list[str | Block]:
     return out
 
 
-# A wrapper item: [key, optional, texts, unit].  texts of a text item: [literal or None, merges,
-# pages, characters, linked characters, outside, main]; unit: the items of a repeated group.
+# A wrapper item: [key, optional, texts, unit].  texts of a text item: [literal to show or None,
+# merges, pages, characters, linked characters, outside, main, constants]; constants: sorted hashes
+# of the texts that every page with the item has there, several in a group; unit: the items of a
+# repeated group.
+
+def _hash(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest())
+
 
 def _items(tokens: list[str | Block]) -> list[list]:
-    return [[t, 0, None, None] if isinstance(t, str) else ["#" + t.place, 0, [t.text[:200] if len(t.text) <= 200 else None, 0, 1, len(t.text), t.linked, int(t.outside), int(t.main)], None] for t in tokens]
+    return [[t, 0, None, None] if isinstance(t, str) else ["#" + t.place, 0, [t.text if len(t.text) <= 200 else t.text[:199] + "…", 0, 1, len(t.text), t.linked, int(t.outside), int(t.main), [_hash(t.text)]], None] for t in tokens]
 
 
-def _merge_item(a: list, b: list) -> list:
+def _merge_item(a: list, b: list, beside: bool = False) -> list:
+    """One item of two: of different pages, or ``beside`` each other in the same ones."""
     optional = a[1] or b[1]
     if a[3] is not None:
-        return [a[0], optional, None, [_merge_item(x, y) for x, y in zip(a[3], b[3], strict=True)]]
+        return [a[0], optional, None, [_merge_item(x, y, beside) for x, y in zip(a[3], b[3], strict=True)]]
     if a[2] is None:
         return [a[0], optional, None, None]
     x, y = a[2], b[2]
-    return [a[0], optional, [x[0] if x[0] == y[0] else None, x[1] + y[1], x[2] + y[2], x[3] + y[3], x[4] + y[4], x[5], x[6]], None]
+    same = x[7] == y[7]
+    constants = x[7] if same else sorted(set(x[7]) | set(y[7]) if beside else set(x[7]) & set(y[7]))
+    # all constants of items beside each other were on so many pages at least
+    merges, on = (min(x[1], y[1]), min(x[2], y[2])) if beside else (x[1] + y[1], x[2] + y[2])
+    return [a[0], optional, [x[0] if same and x[0] == y[0] else None, merges, on, x[3] + y[3], x[4] + y[4], x[5], x[6], constants], None]
 
 
 def _balanced(unit: list[list]) -> bool:
@@ -170,7 +183,7 @@ def fold(items: list[list], longest: int = 8) -> list[list]:
             if size <= len(items) - i and keys[i][0] != "(" and keys[i:i + size] == keys[i + size:i + 2 * size] and _balanced(items[i:i + size]):
                 unit = items[i:i + size]
                 while keys[i + n * size:i + (n + 1) * size] == keys[i:i + size]:
-                    unit = [_merge_item(a, b) for a, b in zip(unit, items[i + n * size:i + (n + 1) * size], strict=True)]
+                    unit = [_merge_item(a, b, True) for a, b in zip(unit, items[i + n * size:i + (n + 1) * size], strict=True)]
                     n += 1
                 out.append(_group(unit))
                 i += n * size
@@ -203,7 +216,7 @@ def _joined(items: list[list]) -> list[list]:
     out: list[list] = []
     for item in items:
         if out and item[3] is not None and out[-1][0] == item[0]:
-            out[-1] = _merge_item(out[-1], item)
+            out[-1] = _merge_item(out[-1], item, True)
         else:
             out.append(item)
     return out
@@ -238,7 +251,7 @@ def _texts(items: list[list]) -> Iterator[list]:
 
 def _count_merge(items: list[list], other: list[list]) -> list[list]:
     """Aligns, and counts a merge for every text if the two sides differ in some text."""
-    before = [t[2][0] for t in _texts(items)] != [t[2][0] for t in _texts(other)]
+    before = [t[2][7] for t in _texts(items)] != [t[2][7] for t in _texts(other)]
     out = align(items, other)
     if before:
         for t in _texts(out):
@@ -262,8 +275,8 @@ def content_rules(items: list[list]) -> dict:
         total[0] += t[3]
         total[1] += t[4]
         article |= bool(t[6] and not t[5])
-        if t[0] is not None and t[1] >= TEMPLATE_MERGES and t[2] > TEMPLATE_MERGES:
-            fixed.append(place + "\n" + t[0])
+        if t[1] >= TEMPLATE_MERGES and t[2] > TEMPLATE_MERGES:
+            fixed += [f"{place}\n{h}" for h in t[7]]
     return {"article": article, "fixed": fixed, "links": [p for p, (n, linked) in chars.items() if 2 * linked > n]}
 
 
@@ -276,7 +289,7 @@ def extract(page: str | None, rules: dict) -> str:
     if inside and rules["article"]:
         blocks = inside
     fixed, links = set(rules["fixed"]), set(rules["links"])
-    return " ".join(b.text for b in blocks if not (b.place in links and not b.main) and b.place + "\n" + b.text not in fixed)
+    return " ".join(b.text for b in blocks if not (b.place in links and not b.main) and not (fixed and f"{b.place}\n{_hash(b.text)}" in fixed))
 
 
 def infer_wrappers(pages: DataFrame, *, url_column: str = "url", html_column: str = "html") -> DataFrame:

@@ -67,6 +67,26 @@ def test_page_text(spark):
     assert page_text.extract_main_text(pages).count() == 12
 
 
+@pytest.mark.parametrize("length", [190, 210, 1500])
+def test_template_text_of_any_length_and_inside_groups(spark, length):
+    alone, beside = ("x" * length + name for name in ("alone", "beside"))
+    # two to four paragraphs of a page's own, of which the long ones are all that differs
+    own = lambda i: [f"{i} own {j} " + f"word{i} " * 60 for j in range(2 + i % 3)]
+    pages = [f"<article><div class=k><p>{alone}</div><div class=t>{''.join('<p>' + p for p in [*own(i), beside])}</div></article>" for i in range(12)]
+    rows = [(i, f"http://h.example/{i}", page) for i, page in enumerate(pages)]
+    got = page_text.extract_main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3)).collect()
+    assert {r.page_id: r.text for r in got} == {i: " ".join(" ".join(p.split()) for p in own(i)) for i in range(12)}
+
+
+def test_texts_of_one_page_are_no_template():
+    wrapper = None
+    for i in range(9):
+        group = "".join(f"<p>only here {j}" for j in range(6)) if i == 4 else ""
+        page = page_text.fold(page_text._items(page_text.stream(f"<article><h2>title {i}</h2><div>{group}</div></article>")))
+        wrapper = page if wrapper is None else page_text._count_merge(wrapper, page)
+    assert page_text.content_rules(wrapper)["fixed"] == []
+
+
 def test_wrapper_has_slots_options_and_groups():
     read = lambda body: page_text.fold(page_text._items(page_text.stream(body)))
     one = read("<div class=a><p>x<p>y<p>z</div><div class=b>same</div>")
