@@ -14,7 +14,7 @@ from repochron.llm.mixing import mix_documents
 from repochron.llm.quality_model import score_quality
 from repochron.llm.sharding import shard_documents
 
-#: share of the tokens that each domain is to have; plain text is taken at least once
+#: share of the tokens that each domain is to have; ``mix`` takes plain text at least once
 MIX = {"plain": 0.985, "low": 0.01, "toxic": 0.005}
 SHARDS = 40
 
@@ -35,8 +35,8 @@ def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their fitted rate says."""
-    taken = mix_documents(docs, read(spark, sf_dir, "labels"), MIX)
+    """Documents as often as their fitted rate says, plain ones once at least."""
+    taken = mix_documents(docs, read(spark, sf_dir, "labels"), MIX, kept="plain")
     return taken.filter("copies > 0").withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
 
 

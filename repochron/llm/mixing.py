@@ -136,18 +136,29 @@ def _solve(matrix: list[list[float]], right: list[float]) -> list[float]:
     return [rows[i][n] / rows[i][i] for i in range(n)]
 
 
-def rate_of(posterior: Column, steps: list[list[float]]) -> Column:
-    """The rate after projected steps from 1: each adds posterior x step and cuts at 0."""
+def least_rate(posterior: Column, domains: int, kept: int | None) -> Column:
+    """1 for a document that belongs to the ``kept`` domain at least as much as to any other, else 0."""
+    if kept is None:
+        return F.lit(0.0)
+    own = F.lit(True)
+    for d in range(domains):
+        own = own & (posterior[kept] >= posterior[d])
+    return F.when(own, 1.0).otherwise(0.0)
+
+
+def rate_of(posterior: Column, steps: list[list[float]], kept: int | None = None) -> Column:
+    """The rate after projected steps from 1: each adds posterior x step and cuts at ``least_rate``."""
     if not steps:
         return F.lit(1.0)
     moves = F.from_json(F.lit(json.dumps(steps)), "array<array<double>>")
     k = len(steps[0])
+    least = least_rate(posterior, k, kept)
 
     def move(rate: Column, step: Column) -> Column:
         by = posterior[0] * step[0]
         for d in range(1, k):
             by = by + posterior[d] * step[d]
-        return F.greatest(F.lit(0.0), rate + by)
+        return F.greatest(least, rate + by)
 
     return F.aggregate(moves, F.lit(1.0), move)
 
@@ -159,23 +170,27 @@ class Fit:
     reached: list[float]
 
 
-def fit_rates(profiles: DataFrame, weights: list[float], *, max_steps: int = MAX_STEPS) -> Fit:
+def fit_rates(profiles: DataFrame, weights: list[float], *, max_steps: int = MAX_STEPS, kept: int | None = None) -> Fit:
     """Projected gradient fit over profiles (p, tokens) to ``weights`` of all their tokens.
 
-    The step is the inverse Gram matrix of the documents whose rate is above 0, or that of all
+    With a ``kept`` domain its documents have rates of 1 at least, and where it holds more tokens
+    than its share of all, the targets are shares of so many tokens that it need not shrink.
+
+    The step is the inverse Gram matrix of the documents whose rate is above the least, or that of all
     documents (which cannot overshoot) where the former gains little.  It ends at the targets, or
     where both gain less than ``LEAST_GAIN`` of the squared error: no rates come nearer by much.
     """
     k = len(weights)
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
     p, t = F.col("p"), F.col("tokens")
+    least = least_rate(p, k, kept)
 
     def moved(rated: DataFrame, step: list[float]) -> DataFrame:
         by = sum((p[i] * F.lit(step[i]) for i in range(1, k)), p[0] * F.lit(step[0]))
-        return stage(rated.withColumn("r", F.greatest(F.lit(0.0), F.col("r") + by)))
+        return stage(rated.withColumn("r", F.greatest(least, F.col("r") + by)))
 
     def sums(rated: DataFrame) -> tuple[float, list[float], list[list[float]], list[list[float]]]:
-        used = (F.col("r") > 0).cast("double")
+        used = (F.col("r") > least).cast("double")
         row = rated.agg(F.sum(t), *[F.sum(t * F.col("r") * p[i]) for i in range(k)], *[F.sum(t * used * p[i] * p[j]) for i, j in pairs], *[F.sum(t * p[i] * p[j]) for i, j in pairs]).first()
         values = [float(v or 0.0) for v in row]
 
@@ -188,8 +203,11 @@ def fit_rates(profiles: DataFrame, weights: list[float], *, max_steps: int = MAX
         return values[0], values[1:k + 1], square(values[k + 1:k + 1 + len(pairs)]), square(values[k + 1 + len(pairs):])
 
     rated = profiles.withColumn("r", F.lit(1.0))
-    total, reached, active, whole = sums(rated)
-    targets = [w / sum(weights) * total for w in weights]
+    total, reached, _, whole = sums(rated)
+    # any rate may rise at first
+    active = whole
+    full = max(total, reached[kept] * sum(weights) / weights[kept]) if kept is not None and weights[kept] > 0 else total
+    targets = [w / sum(weights) * full for w in weights]
     squared = lambda got: sum((a - b) ** 2 for a, b in zip(targets, got, strict=True))
     steps: list[list[float]] = []
     while len(steps) < max_steps and total and max(abs(a - b) for a, b in zip(targets, reached, strict=True)) > TOLERANCE * total:
@@ -211,12 +229,13 @@ def copies_of(rate: Column, key: Column) -> Column:
     return F.floor(rate + chance).cast("int")
 
 
-def mix_documents(docs: DataFrame, labels: DataFrame, weights: dict[str, float], *, id_column: str = "doc_id", text_column: str = "text", keep_text: bool = True) -> DataFrame:
+def mix_documents(docs: DataFrame, labels: DataFrame, weights: dict[str, float], *, id_column: str = "doc_id", text_column: str = "text", keep_text: bool = True, kept: str | None = None) -> DataFrame:
     """``docs`` with (tokens, p_plain, p_low, p_toxic, rate, copies); ``weights`` by domain name.
 
     A null or empty text has no tokens and the posterior of a text without evidence.  Repeated
     rows have one rate each.  Empty documents give an empty table, empty labels rate 1 times the
-    ratio of the ground state's target.  Columns of ``docs`` with a result's name are replaced.
+    ratio of the ground state's target.  Documents whose domain of the greatest posterior is
+    ``kept`` are taken once at least.  Columns of ``docs`` with a result's name are replaced.
     """
     names = ["tokens", *[f"p_{d}" for d in DOMAINS], "rate", "copies"]
     docs = docs.drop(*names)
@@ -226,6 +245,7 @@ def mix_documents(docs: DataFrame, labels: DataFrame, weights: dict[str, float],
     marked = docs.withColumn("_words", words_of(F.col(text_column))).withColumn("tokens", F.size("_words").cast("long")).withColumn("_p", model.posterior(signs_of(F.col("_words")))).drop("_words")
     marked = stage(marked if keep_text else marked.drop(text_column))
     profiles = stage(marked.groupBy(F.col("_p").alias("p")).agg(F.sum("tokens").alias("tokens")))
-    fit = fit_rates(profiles, [weights.get(d, 0.0) for d in DOMAINS])
-    rated = marked.withColumn("rate", rate_of(F.col("_p"), fit.steps))
+    index = None if kept is None else DOMAINS.index(kept)
+    fit = fit_rates(profiles, [weights.get(d, 0.0) for d in DOMAINS], kept=index)
+    rated = marked.withColumn("rate", rate_of(F.col("_p"), fit.steps, index))
     return rated.select(*[c for c in docs.columns if keep_text or c != text_column], "tokens", *[F.col("_p")[i].alias(f"p_{d}") for i, d in enumerate(DOMAINS)], "rate", copies_of(F.col("rate"), F.col(id_column)).alias("copies"))

@@ -214,6 +214,22 @@ def test_rate_fit_meets_targets(spark):
     assert min(rates) >= 0
 
 
+def test_plain_documents_are_taken_at_least_once(spark):
+    alike = spark.createDataFrame([([0.999, 0.0005, 0.0005], 100)], "p array<double>, tokens bigint")
+    mixed = spark.createDataFrame([([0.999, 0.0005, 0.0005], 9000), ([0.6, 0.4, 0.0], 900), ([0.1, 0.9, 0.0], 50), ([0.2, 0.0, 0.8], 50)], "p array<double>, tokens bigint")
+    weights = [corpus_pipeline.MIX[d] for d in mixing.DOMAINS]
+    for profiles in (alike, mixed):
+        fit = mixing.fit_rates(profiles, weights, kept=0)
+        rows = profiles.select(F.col("p")[0].alias("plain"), mixing.rate_of(F.col("p"), fit.steps, 0).alias("r")).collect()
+        assert all(r.r >= (1 if r.plain > 0.5 else 0) for r in rows)
+
+
+def test_pipeline_mixing_keeps_clean_documents(spark, tmp_path):
+    clean = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("clean text number "), "id").alias("text"))
+    clean.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic")).write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.mix(spark, clean, str(tmp_path)).select("doc_id").distinct().count() == 3000
+
+
 def test_sharding(docs):
     rows = sharding.shard_documents(docs, 4).collect()
     assert len(rows) == docs.count() and all(r["size"] == len((r.text or "").encode()) + 16 for r in rows)
