@@ -11,12 +11,15 @@ from repochron.llm.chat import rotate_dialogues
 from repochron.llm.common import read
 from repochron.llm.context_tree import score_documents
 from repochron.llm.decontaminate import decontaminate
+from repochron.llm.hard_negatives import mine_hard_negatives
 from repochron.llm.jaccard_join import near_duplicates
+from repochron.llm.lexical_search import rank_documents
 from repochron.llm.mixing import mix_documents
 from repochron.llm.page_text import extract_main_text
 from repochron.llm.quality_model import score_quality
 from repochron.llm.quality_rules import POLICIES, apply_policy, ledger
 from repochron.llm.sharding import shard_documents
+from repochron.llm.toxicity import score_toxicity
 from repochron.llm.urls import judge_urls
 
 #: host, path, action
@@ -76,9 +79,28 @@ def chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rotate_dialogues(read(spark, sf_dir, "conversations"))
 
 
+def toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = score_toxicity(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
+def lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = rank_documents(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
+    return found.select("item_id", "rank", F.col("doc_id").cast("long").alias("doc_id"), "score")
+
+
+def hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    id_ = F.col("vec_id")
+    label = F.when(id_ % 7 == 0, F.pmod(F.col("label") + 1, F.lit(10))).otherwise(F.col("label"))
+    return mine_hard_negatives(vectors, id_ % 50 == 0, label=label).select(
+        F.col("anchor_id").cast("long").alias("anchor_id"), F.col("positive_id").cast("long").alias("positive_id"), "rank", F.col("negative_id").cast("long").alias("negative_id"), "positive_score", "negative_score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_page_text": page_text, "op2_url_filter": url_filter, "op3_decontamination": decontamination, "op4_quality_model": quality, "op5_quality_rules": quality_rules,
     "op6_jaccard_join": jaccard, "op7_mixing": mixing, "op8_sharding": sharding, "op9_context_tree": language_model, "op10_chat": chat,
+    "op11_toxicity": toxicity, "op12_lexical_search": lexical_search, "op13_hard_negatives": hard_negatives,
 }
 
 ORACLES: dict[str, str] = {
@@ -89,4 +111,33 @@ rules(rule_host, rule_path, action) AS (VALUES ('com', '/', 'allow'), ('example.
 SELECT page_id, host, path, arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule, COALESCE(arg_max(action, length(rule_host || rule_path)), 'allow') AS verdict
 FROM parts LEFT JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
 GROUP BY page_id, host, path""",
+    "op12_lexical_search": r"""
+WITH terms AS (
+  SELECT pos, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM (SELECT row_number() OVER () AS pos, doc_id, text FROM documents)),
+sizes AS (SELECT pos, doc_id, count(*) AS n FROM terms GROUP BY pos, doc_id),
+totals AS (SELECT count(*) AS big_n, CAST(sum(n) AS BIGINT) AS big_l FROM sizes),
+cells AS (SELECT pos, term, count(*) AS tf FROM terms GROUP BY pos, term),
+weights AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * big_n + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM cells, totals GROUP BY term, big_n),
+asked AS (
+  SELECT item_id, term, count(*) AS times
+  FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY item_id, term),
+scores AS (
+  SELECT item_id, pos, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + ((25 * n * big_n) // big_l))))) AS BIGINT) AS score
+  FROM asked JOIN weights USING (term) JOIN cells USING (term) JOIN sizes USING (pos), totals GROUP BY item_id, pos, doc_id),
+ranked AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM scores WHERE score > 0)
+SELECT * FROM ranked WHERE rank <= 20""",
+    "op13_hard_negatives": r"""
+WITH rows AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (
+  SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id AS other_id, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+  FROM rows a JOIN rows b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+positives AS (
+  SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM pairs WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id) AS INTEGER) AS rank, other_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN pairs USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY rank <= 3""",
 }
