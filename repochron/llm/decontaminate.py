@@ -165,8 +165,12 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, id
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``docs`` without the rows that hold a window of an item."""
+    """``docs`` without the rows that hold a window of an item.
+
+    Rows without words, and all rows where there are no items, stay; repeated rows stay or go together.
+    """
     _, spans, _ = contaminated_spans(docs, items, window=window, id_column=id_column, text_column=text_column)
-    hit = stage(spans.select("_id", F.col("_h").alias("_g")).distinct())
-    same = F.col(id_column).eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(text_column)) == F.col("_g"))
-    return docs.join(hit, same, "left_anti")
+    hit = stage(spans.select("_id", "_h").distinct())
+    # the rows of docs go through the join as one column, so that no name can clash
+    packed = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_column).alias("_key"), F.xxhash64(F.col(text_column)).alias("_hash"))
+    return packed.join(hit, F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_h")), "left_anti").select("_row.*")

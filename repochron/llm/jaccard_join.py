@@ -1,46 +1,55 @@
 """N-gram Jaccard join with token-combination prefixes, and the components it links.
 
 A document is the set of its word shingles; equal sets are one class from the start.  The
-tokens (64-bit shingle hashes) stand in one global order: the rare class, then the frequent
-class, each by hash.  With d the most tokens a set may lack in a partner, its prefix is
-extended until (rare tokens) + max(0, frequent tokens - 1) > d.  Two linked sets then share a
-rare token of their prefixes or two frequent ones: rare tokens are indexed singly, frequent
-ones as pairs.  (Of the two prefixes take the one that ends first; at most d of its tokens are
-missing in the other set, and what it shares lies inside the other prefix as well.)  Above
-``long`` tokens the pairs would be too many, and frequent tokens are indexed singly there;
+tokens (64-bit shingle hashes) stand in one global order: the rare ones, then the frequent, then
+the very frequent, each by hash.  Rare tokens are indexed singly, frequent ones in combinations
+of two, very frequent ones in combinations of three.  With d the most tokens a set may lack in a
+partner, its prefix is extended until the tokens of each class, less one, two or no tokens for a
+combination of two, three or one, are over d together.  Two linked sets then share a key: of the
+two prefixes take the one that ends first; it lacks at most d of its tokens in the other set, so
+of some class enough for a combination are common, and those lie inside the other prefix as well.
+Larger sets have too many combinations: above a size they use combinations of one token less, and
 sets near that size are indexed both ways.
 
-Candidates are never expanded inside a group at once.  First every key links its members to
-one pivot, the member with the fewest rare tokens; what is verified forms components.  Then,
-for keys of three members or more, those outside the pivot's component meet the others but the
-pivot, and only across components.  A
-512-bit parity sketch bounds the symmetric difference from below, so pairs are dropped before
+Most linked sets are found before that: every set looks under its few least tokens, and what
+shares one is compared with one member of the key, its pivot.  What is verified forms components.
+The index is for the links between components: a token is frequent by the number of components
+that it is met in, so a large group of near copies makes none, and keys inside one component say
+nothing more.  The members of a key are first compared with its pivot, and only those of keys
+that then still join several components with each other.  Sizes and a 256-bit parity sketch, then
+one as long as the set, bound the symmetric difference from below, so pairs are dropped before
 their sets are fetched, and never one that links.  What is left is verified on the whole sets.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from repochron.llm.common import bit_count_for, bits_of, in_bits, list_of, map_batches, stage
 from repochron.llm.words import LOWER, NOT_SPACE, Run, mixed, runs, split_words
 
-#: prefix entries from which on a token is in the frequent class
-FREQUENT = 48
-#: most tokens that may lack (d) where frequent tokens are indexed as pairs
-PAIRED = 64
+#: components of a token from which on it is frequent, and very frequent
+FREQUENT, VERY_FREQUENT = 48, 1 << 10
+#: most tokens that may lack (d) where combinations of two, and of three, are indexed
+PAIRED, TRIPLED = 32, 8
+#: least tokens under which a set looks for the first links
+PROBES = 3
 #: least bits of a parity sketch
 SKETCH = 512
-#: bits of the sketch that index entries carry along
+#: bits of the sketch that all pairs are compared by first
 MINI = 256
 #: tokens of a head beyond d and a quarter of it
 HEAD = 10
+#: bytes of texts that a task splits at once
+CHUNK = 1 << 18
 
 
 def run_sets(run: Run, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -98,7 +107,7 @@ def set_table(docs: DataFrame, k: int, num: int, den: int, id_column: str, text_
     kind = source.schema["_id"].dataType.simpleString()
 
     def over(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for run in runs(batch.column(2)):
+        for run in runs(batch.column(2), CHUNK):
             tokens, sizes = run_sets(run, k)
             n = len(sizes)
             owner = np.repeat(np.arange(n), sizes)
@@ -122,25 +131,32 @@ def set_table(docs: DataFrame, k: int, num: int, den: int, id_column: str, text_
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, k: int, text_column: str) -> DataFrame:
-    """(set_id, tokens) of the classes in ``wanted`` (set_id, _h): texts outside a bit table of their hashes are not split."""
-    spark = docs.sparkSession
+    """(set_id, tokens) of the classes in ``wanted`` (set_id, _h): texts outside a bit table of their hashes are not split; staged."""
     wanted = stage(wanted)
-    table = spark.sparkContext.broadcast(bits_of(wanted, "_h", bit_count_for(wanted.count())))
+    if wanted.isEmpty():
+        return wanted.select("set_id", F.array().cast("array<bigint>").alias("tokens"))
+    table = send_bits(wanted, "_h")
     source = docs.select(F.xxhash64(F.col(text_column)).alias("_h"), F.col(text_column).cast("string").alias("_text"))
 
     def over(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         batch = batch.filter(pa.array(in_bits(table.value, batch.column(0).to_numpy().view(np.uint64))))
-        for run in runs(batch.column(1)) if batch.num_rows else ():
+        for run in runs(batch.column(1), CHUNK) if batch.num_rows else ():
             tokens, sizes = run_sets(run, k)
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(run.rows.start, len(sizes)), list_of(sizes, tokens.view(np.int64))], ["_h", "tokens"])
 
     found = map_batches(source, over, "_h bigint, tokens array<bigint>").dropDuplicates(["_h"])
-    return found.join(wanted, "_h").select("set_id", "tokens")
+    sets = stage(found.join(wanted, "_h").select("set_id", "tokens"))
+    table.unpersist()
+    return sets
 
 
-def may_be_in(keys: DataFrame, column: str) -> Callable[[Column], Column]:
-    """A test of 64-bit hashes against a bit table of bounded size: true for all in ``keys``, and for few others."""
-    table = keys.sparkSession.sparkContext.broadcast(bits_of(keys, column, bit_count_for(keys.count())))
+def send_bits(keys: DataFrame, column: str) -> Broadcast:
+    """A bit table of 64-bit hashes, of bounded size, on the executors."""
+    return keys.sparkSession.sparkContext.broadcast(bits_of(keys, column, bit_count_for(keys.count())))
+
+
+def may_be_in(table: Broadcast) -> Callable[[Column], Column]:
+    """A test of 64-bit hashes against a bit table: true for all keys in it, and for few others."""
 
     @F.pandas_udf("boolean")
     def test(hashes: pd.Series) -> pd.Series:
@@ -149,66 +165,89 @@ def may_be_in(keys: DataFrame, column: str) -> Callable[[Column], Column]:
     return test
 
 
-def keys_of(tokens: np.ndarray, often: np.ndarray, n: int, num: int, den: int) -> np.ndarray | None:
-    """Index keys of a set of ``n`` tokens from its first ``tokens`` by hash; None if more of them are needed."""
-    rare, common = tokens[~often], tokens[often]
+def size_limits(num: int, den: int) -> tuple[float, float, float]:
+    """Set sizes up to which single tokens, combinations of three, and combinations of two are used where tokens are frequent.
+
+    Sets of at most the first size may share fewer than four tokens with a partner.
+    """
+    apart = den / max(den - num, 1)
+    return 4 * den / num, TRIPLED * apart, max(PAIRED * apart, TRIPLED * apart * den / num)
+
+
+def key_sizes(n: int, num: int, den: int, limits: tuple[float, float, float]) -> set[tuple[int, int]]:
+    """(tokens of a combination of frequent tokens, of very frequent ones) that a set of ``n`` tokens is indexed by.
+
+    Sets that may be linked have one of them in common: a size within a factor of num / den of a limit has both.
+    """
+    small, triple, pair = limits
+    kinds = ((0, small, (1, 1)), (small, triple, (2, 3)), (triple, pair, (2, 2)), (pair, float("inf"), (1, 1)))
+    return {kind for low, high, kind in kinds if n * den > low * num and n * num <= high * den}
+
+
+def keys_of(tokens: np.ndarray, level: np.ndarray, n: int, num: int, den: int, limits: tuple[float, float, float]) -> np.ndarray | None:
+    """Index keys of a set of ``n`` tokens from its first ``tokens`` by hash and their classes (0, 1, 2); None if more are needed."""
     need = int(lacking(np.array(n), num, den)) + 1
+    rare = tokens[level == 0]
     if len(rare) >= need:
         return rare[:need]
     if len(tokens) < n:
         return None
-    long = PAIRED * den // (den - num)
     out = [rare]
-    if n * num <= long * den:
-        part = common[:need - len(rare) + 1]
-        i, j = np.triu_indices(len(part), 1)
-        out.append(mixed(part[i] * np.uint64(3) + mixed(part[j])))
-    if n * den >= long * num:
-        out.append(mixed(common[:need - len(rare)] + np.uint64(1)))
-    return np.concatenate(out)
-
-
-def entries_of(sets: DataFrame, frequent, num: int, den: int, shared=None) -> DataFrame:
-    """(key, set_id, n, m0..., rank, fresh) from (set_id, n, tokens, m0...): the index entries of the sets that these tokens decide.
-
-    rank is the number of rare tokens in the prefix, fresh that the key is not one of the first
-    d + 1 tokens.  With ``shared``, keys outside that bit table are left out.
+    for sizes in key_sizes(int(n), num, den, limits):
+        left = need - len(rare)
+        for c, size in enumerate(sizes, 1):
+            part = tokens[level == c][:max(left, 0) + size - 1] if left > 0 else tokens[:0]
+            if size == 1:
+                out.append(mixed(part + np.uint64(1)))
+            elif len(part) >= size:
+                places = np.array(list(combinations(range(len(part)), size)))
+                key = np.full(len(places), size, np.uint64)
+                for column in places.T:
+                    key = mixed(key * np.uint64(3) + mixed(part[column]))
+                out.append(key)
+            left -= max(0, len(part) - size + 1)
+    return np.unique(np.concatenate(out))
+
+
+def entries_of(sets: DataFrame, classes_of_tokens: Broadcast, num: int, den: int, shared: Broadcast | None = None) -> DataFrame:
+    """(key, set_id, fresh) from (set_id, n, tokens): the index entries of the sets that these tokens decide.
+
+    fresh tells that the key is not one of the first d + 1 tokens.  With ``shared``, keys outside that
+    bit table are left out.
     """
+    limits = size_limits(num, den)
 
     def over(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         column = batch.column(2)
         joined = column.flatten().to_numpy().view(np.uint64)
         ends = np.concatenate([[0], np.cumsum(np.diff(column.offsets.to_numpy()))])
-        often = in_bits(frequent.value, joined)
-        parts, owner, rank, fresh = [], [], [], []
+        often, very = classes_of_tokens.value
+        level = in_bits(often, joined).astype(np.int8)
+        level[level > 0] += in_bits(very, joined[level > 0])
+        parts, owner, fresh = [], [], []
         for i, n in enumerate(batch.column(1).to_numpy()):
             a, b = ends[i], ends[i + 1]
             need = int(lacking(np.array(n), num, den)) + 1
-            keys = joined[a:a + need] if not often[a:a + need].any() else keys_of(joined[a:b], often[a:b], n, num, den)
+            keys = joined[a:a + need] if not level[a:a + need].any() else keys_of(joined[a:b], level[a:b], n, num, den, limits)
             if keys is None:
                 continue
-            new = np.ones(len(keys), bool)
-            rare = min(need, int((~often[a:b]).sum()))
-            new[:rare] = keys[:rare] > joined[min(a + need, b) - 1]
+            new = ~np.isin(keys, joined[a:a + need])
             keep = in_bits(shared.value, keys) if shared is not None else np.ones(len(keys), bool)
-            parts.append(keys[keep]), owner.append(np.full(int(keep.sum()), i)), rank.append(np.full(int(keep.sum()), rare)), fresh.append(new[keep])
+            parts.append(keys[keep]), owner.append(np.full(int(keep.sum()), i)), fresh.append(new[keep])
         if parts:
             rows = pa.array(np.concatenate(owner))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(parts).view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows), *[c.take(rows) for c in batch.columns[3:]],
-                 pa.array(np.concatenate(rank).astype(np.int64)), pa.array(np.concatenate(fresh))],
-                ["key", "set_id", "n", *MINIS, "rank", "fresh"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts).view(np.int64)), batch.column(0).take(rows), pa.array(np.concatenate(fresh))], ["key", "set_id", "fresh"])
 
-    return map_batches(sets, over, f"key bigint, set_id bigint, n bigint, {MINI_SCHEMA}, rank bigint, fresh boolean")
+    return map_batches(sets, over, "key bigint, set_id bigint, fresh boolean")
 
 
-def undecided(classes: DataFrame, frequent, num: int, den: int) -> DataFrame:
+def undecided(classes: DataFrame, classes_of_tokens: Broadcast, num: int, den: int) -> DataFrame:
     """(set_id, _h) of the classes whose heads hold too few rare tokens."""
 
     def over(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         head = batch.column(3)
         sizes = np.diff(head.offsets.to_numpy())
-        often = in_bits(frequent.value, head.flatten().to_numpy().view(np.uint64))
+        often = in_bits(classes_of_tokens.value[0], head.flatten().to_numpy().view(np.uint64))
         rare = np.bincount(np.repeat(np.arange(len(sizes)), sizes), ~often, len(sizes))
         n = batch.column(2).to_numpy()
         yield batch.select([0, 1]).filter(pa.array((rare <= lacking(n, num, den)) & (sizes < n)))
@@ -233,30 +272,27 @@ def near_in_sketch(a: Column, b: Column, n: Column, m: Column, num: int, den: in
     return bits * (den + num) <= (n + m) * (den - num)
 
 
-def carried(sketch: Column, n: Column, num: int, den: int) -> Column:
-    """A sketch folded to the bits that tell unrelated sets of ``n`` tokens apart: over twice what linked ones may differ in.
-
-    Lengths stay powers of two, and those of sets near in size one length or two that differ by a
-    factor of two, as ``near_in_sketch`` takes them.
-    """
-    least = n * (5 * (den - num)) / F.lit(64 * (den + num))
-    length = F.lit(MINI // 64)
-    for words in (MINI // 64 << i for i in range(24)):
-        length = F.when(least > words, F.lit(2 * words)).otherwise(length)
-    length = F.least(length, F.size(sketch))
-    part = lambda i: F.slice(sketch, i * length + 1, length)
-    fold = F.aggregate(F.sequence(F.lit(1), F.floor(F.size(sketch) / length).cast("int") - 1), part(F.lit(0)), lambda t, i: F.zip_with(t, part(i), lambda x, y: x.bitwiseXOR(y)))
-    return F.when(F.size(sketch) > length, fold).otherwise(sketch)
-
-
-def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, num: int, den: int, text_column: str) -> DataFrame:
-    """The pairs (a, b) that link, by their whole sets; staged."""
-    pairs = stage(pairs)
-    ids = pairs.select(F.col("a").alias("set_id")).union(pairs.select(F.col("b").alias("set_id"))).distinct()
-    sets = stage(whole_sets(docs, ids.join(classes.select("set_id", "_h"), "set_id"), k, text_column))
-    side = lambda s: sets.select(F.col("set_id").alias(s), F.col("tokens").alias(f"t{s}"))
+def near_in_mini(a: str, b: str, n: str, m: str, num: int, den: int) -> Column:
+    """The same for the short sketches, in columns that begin with ``a`` and ``b``."""
+    differ = sum((F.bit_count(F.col(f"{a}{w}").bitwiseXOR(F.col(f"{b}{w}"))) for w in MINIS[1:]), F.bit_count(F.col(f"{a}m0").bitwiseXOR(F.col(f"{b}m0"))))
+    return differ * (den + num) <= (F.col(n) + F.col(m)) * (den - num)
+
+
+def verified(pairs: DataFrame, known: DataFrame | None, docs: DataFrame, classes: DataFrame, k: int, num: int, den: int, text_column: str) -> DataFrame:
+    """The (a, b) among pairs of classes that link and are not ``known``: by size and sketches, then by the whole sets; staged."""
+    side = lambda s, columns: classes.select(F.col("set_id").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in columns])
+    near = pairs.distinct().join(side("a", ["n", *MINIS]), "a").join(side("b", ["n", *MINIS]), "b")
+    near = near.filter(near_in_size(F.col("a_n"), F.col("b_n"), num, den) & near_in_mini("a_", "b_", "a_n", "b_n", num, den)).select("a", "b")
+    near = stage(near if known is None else near.join(known, ["a", "b"], "left_anti"))
+    if near.isEmpty():
+        return near
+    close = near.join(side("a", ["n", "sketch"]), "a").join(side("b", ["n", "sketch"]), "b")
+    close = stage(close.filter(near_in_sketch(F.col("a_sketch"), F.col("b_sketch"), F.col("a_n"), F.col("b_n"), num, den)).select("a", "b"))
+    ids = close.select(F.col("a").alias("set_id")).union(close.select(F.col("b").alias("set_id"))).distinct()
+    sets = whole_sets(docs, ids.join(classes.select("set_id", "_h"), "set_id"), k, text_column)
+    whole = lambda s: sets.select(F.col("set_id").alias(s), F.col("tokens").alias(f"t{s}"))
     both = F.size(F.array_intersect("ta", "tb"))
-    met = pairs.join(side("a"), "a").join(side("b"), "b").filter(both * den >= (F.size("ta") + F.size("tb") - both) * num)
+    met = close.join(whole("a"), "a").join(whole("b"), "b").filter(both * den >= (F.size("ta") + F.size("tb") - both) * num)
     return stage(met.select("a", "b"))
 
 
@@ -267,7 +303,7 @@ def components(edges: DataFrame) -> DataFrame:
     others, by partial minima and joins, and no neighbourhood is gathered.
     """
     edges = stage(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    while True:
+    while not edges.isEmpty():
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
@@ -283,56 +319,92 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("comp"))
 
 
-def linked_classes(docs: DataFrame, classes: DataFrame, k: int, num: int, den: int, text_column: str) -> DataFrame:
-    """(node, comp): components of the classes that have a link."""
-    spark = docs.sparkSession
-    send = lambda keys, column: spark.sparkContext.broadcast(bits_of(keys, column, bit_count_for(keys.count())))
+def ordered_pair(a: str, b: str) -> list[Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
+def first_links(classes: DataFrame) -> DataFrame:
+    """(a, b): every class with the pivot of each of its least tokens."""
+    probes = classes.select("set_id", F.explode(F.slice("head", 1, PROBES)).alias("key"))
+    pivots = probes.groupBy("key").agg(F.min("set_id").alias("pivot"), F.count("*").alias("c")).filter("c > 1").select("key", "pivot")
+    return probes.join(pivots, "key").filter("set_id <> pivot").select(*ordered_pair("set_id", "pivot"))
+
+
+def with_components(rows: DataFrame, comps: DataFrame) -> DataFrame:
+    """``rows`` with the component (comp) of their set_id; a set without links is its own."""
+    return rows.join(comps.select(F.col("node").alias("set_id"), "comp"), "set_id", "left").withColumn("comp", F.coalesce("comp", "set_id"))
+
+
+def token_classes(entries: DataFrame, comps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The tokens of (key, set_id) that are frequent, and those that are very frequent; staged."""
+    met = with_components(entries.select("key", "set_id"), comps).select("key", "comp").distinct()
+    counts = stage(met.groupBy("key").agg(F.count("*").alias("c")).filter(F.col("c") > FREQUENT))
+    return counts.select("key"), counts.filter(F.col("c") > VERY_FREQUENT).select("key")
+
+
+def index_entries(docs: DataFrame, classes: DataFrame, comps: DataFrame, k: int, num: int, den: int, text_column: str) -> DataFrame:
+    """(key, set_id): the index of all classes, without most of the keys that only one class has; staged."""
     need = (F.col("n") - F.ceil(F.col("n") * num / den) + 1).cast("int")
-    shared = stage(classes.select(F.explode(F.slice("head", F.lit(1), need)).alias("key")).groupBy("key").agg(F.count("*").alias("c")).filter("c > 1"))
-    often = shared.filter(F.col("c") > FREQUENT).select("key")
-    often_bits = send(often, "key")
+    heads = classes.select("set_id", "n", "head")
+    prefixes = classes.select("set_id", F.explode(F.slice("head", F.lit(1), need)).alias("key"))
+    shared = stage(prefixes.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1"))
+    many = send_bits(stage(shared.filter(F.col("c") > FREQUENT).select("key")), "key")
+    often, very = token_classes(stage(prefixes.filter(may_be_in(many)(F.col("key")))), comps)
+    some = classes.sparkSession.sparkContext.broadcast(tuple(bits_of(t, "key", bit_count_for(t.count())) for t in (often, very)))
     # sets that frequent tokens fill: all their tokens tell what else is frequent
-    hot = stage(whole_sets(docs, undecided(classes, often_bits, num, den), k, text_column))
-    more = hot.select(F.explode("tokens").alias("key")).groupBy("key").agg(F.count("*").alias("c")).filter(F.col("c") > FREQUENT).select("key")
-    frequent = send(stage(often.union(more).distinct()), "key")
-    open_ = stage(undecided(classes, frequent, num, den))
+    hot = whole_sets(docs, undecided(classes, some, num, den), k, text_column)
+    more, more_very = token_classes(hot.select("set_id", F.explode("tokens").alias("key")), comps)
+    often, very = stage(often.union(more).distinct()), stage(very.union(more_very).distinct())
+    all_ = classes.sparkSession.sparkContext.broadcast(tuple(bits_of(t, "key", bit_count_for(t.count())) for t in (often, very)))
+    open_ = stage(undecided(classes, all_, num, den))
     rest = whole_sets(docs, open_.join(hot.select("set_id"), "set_id", "left_anti"), k, text_column)
-    whole = hot.join(open_.select("set_id"), "set_id", "left_semi").union(rest).select("set_id", F.size("tokens").cast("long").alias("n"), "tokens").join(classes.select("set_id", *MINIS), "set_id")
-    extended = stage(entries_of(whole, frequent, num, den))
-    heads = classes.select("set_id", "n", "head", *MINIS)
-    fresh = entries_of(heads, frequent, num, den).filter("fresh").select("key")
-    shared_bits = send(stage(shared.select("key").union(extended.select("key")).union(fresh).distinct()), "key")
-    entries = stage(entries_of(heads, frequent, num, den, shared_bits).union(extended).drop("fresh"))
-
-    per_key = entries.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("rank", "set_id", "n")).alias("p")).filter("c > 1")
-    pivots = per_key.select("key", (F.col("c") > 2).alias("several"), F.col("p.set_id").alias("pivot"), F.col("p.n").alias("pivot_n"))
-    pivots = stage(pivots.join(classes.select(F.col("set_id").alias("pivot"), *[F.col(m).alias(f"p{m}") for m in MINIS]), "pivot"))
-    differ = sum((F.bit_count(F.col(m).bitwiseXOR(F.col(f"p{m}"))) for m in MINIS[1:]), F.bit_count(F.col("m0").bitwiseXOR(F.col("pm0"))))
-    near = near_in_size(F.col("n"), F.col("pivot_n"), num, den) & (differ * (den + num) <= (F.col("n") + F.col("pivot_n")) * (den - num))
-    met = entries.join(pivots, "key").filter("set_id <> pivot").select("key", "set_id", "pivot", "several", near.alias("near"))
-    met = stage(met.filter("near or several"))
-    sketches = classes.select("set_id", "n", "sketch")
-    side = lambda s: sketches.select(F.col("set_id").alias(s), F.col("n").alias(f"n{s}"), F.col("sketch").alias(f"s{s}"))
-    close = near_in_sketch(F.col("sa"), F.col("sb"), F.col("na"), F.col("nb"), num, den)
-    star = met.filter("near").select(F.least("set_id", "pivot").alias("a"), F.greatest("set_id", "pivot").alias("b")).distinct()
-    star = star.join(side("a"), "a").join(side("b"), "b").filter(close).select("a", "b")
-    links = verified(star, docs, classes, k, num, den, text_column)
-
-    first = components(links)
-    comp = lambda df, of, name: df.join(first.select(F.col("node").alias(of), F.col("comp").alias(name)), of, "left").withColumn(name, F.coalesce(name, of))
-    # all pairs with a pivot are decided: only keys of other members as well are looked at again
-    members = comp(comp(met.filter("several").select("key", "set_id", "pivot"), "set_id", "comp"), "pivot", "pivot_comp")
-    members = stage(members.select("key", "set_id", "comp", (F.col("comp") == F.col("pivot_comp")).alias("with_pivot")))
-    open_keys = members.filter("not with_pivot").select("key").distinct()
-    small = classes.select("set_id", "n", carried(F.col("sketch"), F.col("n"), num, den).alias("sketch"))
-    rows = stage(members.join(open_keys, "key", "left_semi").join(small, "set_id"))
-    right = rows.select("key", *[F.col(c).alias(f"r_{c}") for c in ("set_id", "comp", "with_pivot", "n", "sketch")])
-    across = rows.filter("not with_pivot").join(right, "key").filter(
-        (F.col("comp") != F.col("r_comp")) & (F.col("r_with_pivot") | (F.col("set_id") < F.col("r_set_id"))) & near_in_size(F.col("n"), F.col("r_n"), num, den)
-        & near_in_sketch(F.col("sketch"), F.col("r_sketch"), F.col("n"), F.col("r_n"), num, den))
-    across = across.select(F.least("set_id", "r_set_id").alias("a"), F.greatest("set_id", "r_set_id").alias("b")).distinct()
-    across = across.join(side("a"), "a").join(side("b"), "b").filter(close).select("a", "b")
-    return components(links.union(verified(across, docs, classes, k, num, den, text_column)))
+    whole = hot.join(open_.select("set_id"), "set_id", "left_semi").union(rest).select("set_id", F.size("tokens").cast("long").alias("n"), "tokens")
+    extended = stage(entries_of(whole, all_, num, den))
+    # a key that is in one prefix only because of its class may be among the first tokens of another set
+    fresh = entries_of(heads, all_, num, den).filter("fresh").select("key")
+    kept = send_bits(stage(shared.select("key").union(extended.select("key")).union(fresh).distinct()), "key")
+    entries = stage(entries_of(heads, all_, num, den, kept).union(extended).select("key", "set_id"))
+    for sent in (many, some, all_, kept):
+        sent.unpersist()
+    return entries
+
+
+def linked_classes(docs: DataFrame, classes: DataFrame, k: int, num: int, den: int, text_column: str) -> DataFrame:
+    """(node, comp): components of the classes that have a link."""
+    # smaller sets have no partner but equal ones
+    classes = classes.filter(F.floor(F.col("n") * den / num) > F.col("n"))
+    check = lambda pairs, known=None: verified(pairs, known, docs, classes, k, num, den, text_column)
+    links = check(first_links(classes))
+    comps = stage(components(links))
+
+    entries = index_entries(docs, classes, comps, k, num, den, text_column)
+    keys = stage(entries.groupBy("key").agg(F.count("*").alias("c"), F.min("set_id").alias("a"), F.max("set_id").alias("b")).filter("c > 1"))
+    # a key of two sets is a pair; in others all members meet the pivot
+    several = keys.filter("c > 2").select("key", F.col("a").alias("pivot"))
+    members = stage(with_components(entries.join(several, "key"), comps))
+    open_keys = members.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("key")
+    members = stage(members.join(open_keys, "key", "left_semi"))
+    pivot_comp = members.filter("set_id = pivot").select("key", F.col("comp").alias("pivot_comp"))
+    star = members.join(pivot_comp, "key").filter("comp <> pivot_comp").select(*ordered_pair("set_id", "pivot"))
+    links = links.union(check(keys.filter("c = 2").select("a", "b").union(star), links))
+
+    # all pairs with a pivot are decided: other members meet where a key still joins components
+    if members.isEmpty():
+        return components(links)
+    comps = stage(components(links))
+    members = with_components(members.select("key", "set_id", "pivot"), comps)
+    pivot_comp = members.filter("set_id = pivot").select("key", F.col("comp").alias("pivot_comp"))
+    members = members.filter("set_id <> pivot").join(pivot_comp, "key").select("key", "set_id", "comp", (F.col("comp") == F.col("pivot_comp")).alias("with_pivot"))
+    members = stage(members)
+    open_keys = stage(members.filter("not with_pivot").select("key").distinct())
+    if open_keys.isEmpty():
+        return comps
+    members = stage(members.join(open_keys, "key", "left_semi").join(classes.select("set_id", "n", *MINIS), "set_id"))
+    outside = members.filter("not with_pivot")
+    right = members.select("key", *[F.col(c).alias(f"r_{c}") for c in ("set_id", "comp", "with_pivot", "n", *MINIS)])
+    across = outside.join(right, "key").filter(
+        (F.col("comp") != F.col("r_comp")) & (F.col("r_with_pivot") | (F.col("set_id") < F.col("r_set_id"))) & near_in_size(F.col("n"), F.col("r_n"), num, den) & near_in_mini("", "r_", "n", "r_n", num, den))
+    return components(links.union(check(across.select(*ordered_pair("set_id", "r_set_id")), links)))
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 5, num: int = 80, den: int = 100, id_column: str = "doc_id", text_column: str = "text", keep_hash: bool = False) -> DataFrame:
@@ -347,11 +419,12 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, num: int = 80, den: in
     """
     table = stage(set_table(docs, shingle, num, den, id_column, text_column))
     filled = table.filter("n > 0")
-    twice = stage(filled.groupBy("set_id").agg(F.count("*").alias("c")).filter("c > 1").select("set_id"))
-    repeated = may_be_in(twice, "set_id")(F.col("set_id"))
+    twice = send_bits(stage(filled.groupBy("set_id").agg(F.count("*").alias("c")).filter("c > 1").select("set_id")), "set_id")
+    repeated = may_be_in(twice)(F.col("set_id"))
     single = filled.filter(~repeated).select("set_id", F.col("_id").alias("least"), *CARRIED)
-    several = filled.filter(repeated).groupBy("set_id").agg(F.min("_id").alias("least"), *[F.first(c).alias(c) for c in CARRIED])
+    several = filled.filter(repeated).groupBy("set_id").agg(F.min("_id").alias("least"), *[F.min(c).alias(c) for c in CARRIED])
     classes = stage(single.union(several))
+    twice.unpersist()
     comps = stage(linked_classes(docs, classes, shingle, num, den, text_column))
     known = classes.select("set_id", "least").join(comps, F.col("set_id") == F.col("node"), "left").select("set_id", "least", F.coalesce("comp", "set_id").alias("comp"))
     labels = known.groupBy("comp").agg(F.min("least").alias("component_id"))
@@ -367,16 +440,17 @@ def one_of_each(docs: DataFrame, *, shingle: int = 5, num: int = 80, den: int =
     Rows without words are groups of their own; rows that repeat with one id and text are one.
     """
     table = near_duplicates(docs, shingle=shingle, num=num, den=den, id_column=id_column, text_column=text_column, keep_hash=True)
-    rows = stage(table.groupBy(id_column, "_h", "_comp").agg(F.count("*").alias("n")))
+    rows = stage(table.groupBy(F.col(id_column).alias("_id"), "_h", "_comp").agg(F.count("*").alias("n")))
     filled = rows.filter("_comp is not null")
-    first = filled.groupBy("_comp").agg(F.min(F.struct(id_column, "_h")).alias("first"))
-    kept = F.struct(id_column, "_h").eqNullSafe(F.col("first"))
-    marked = filled.join(first, "_comp").select(id_column, "_h", "n", kept.alias("_kept"))
-    bare = rows.filter("_comp is null").select(id_column, "_h", "n", F.lit(True).alias("_kept"))
+    first = filled.groupBy("_comp").agg(F.min(F.struct("_id", "_h")).alias("first"))
+    kept = F.struct("_id", "_h").eqNullSafe(F.col("first"))
+    marked = filled.join(first, "_comp").select("_id", "_h", "n", kept.alias("_kept"))
+    bare = rows.filter("_comp is null").select("_id", "_h", "n", F.lit(True).alias("_kept"))
     # few rows as a rule, and written, so that the joins know their size
-    leaves = stage(marked.union(bare).filter("not _kept or n > 1").select(F.col(id_column).alias("_id"), F.col("_h").alias("_g"), "_kept"))
-    hashed = docs.withColumn("_h", F.xxhash64(F.col(text_column)))
-    same = F.col(id_column).eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_g"))
-    single = hashed.join(leaves, same, "left_anti")
-    repeated = hashed.join(leaves.filter("_kept"), same, "left_semi").dropDuplicates([id_column, "_h"])
-    return single.union(repeated).select(*docs.columns)
+    leaves = stage(marked.union(bare).filter("not _kept or n > 1").select("_id", "_h", "_kept"))
+    # the rows of docs go through the joins as one column, so that no name can clash
+    packed = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_column).alias("_key"), F.xxhash64(F.col(text_column)).alias("_hash"))
+    same = F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_h"))
+    single = packed.join(leaves, same, "left_anti")
+    repeated = packed.join(leaves.filter("_kept"), same, "left_semi").dropDuplicates(["_key", "_hash"])
+    return single.union(repeated).select("_row.*")

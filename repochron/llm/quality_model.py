@@ -24,6 +24,8 @@ from repochron.llm.words import LOWER, NOT_SPACE, Run, Words, runs, split_words
 TOKENS = (1 << 14, 1 << 13, 1 << 10)  # slots of words, beginnings, shapes
 WIDTH = 32
 NONZERO = 2  # entries of an index vector
+#: bytes of texts that a task scores at once
+CHUNK = 1 << 18
 #: labelled rows that the network is fitted on, the first in hash order of their id
 SAMPLE_ROWS = 8000
 HIDDEN, EPOCHS, BATCH, RATE, DECAY = 32, 60, 128, 0.005, 1e-4
@@ -70,7 +72,7 @@ def context_sums(docs: DataFrame, text_column: str) -> DataFrame:
         index = [index_vectors(n, i) for i, n in enumerate(TOKENS)]
         sums = [np.zeros(n * WIDTH) for n in TOKENS]
         for batch in batches:
-            for run in runs(batch.column(0)):
+            for run in runs(batch.column(0), CHUNK):
                 words, slots = tokens_of(run)
                 pair = np.flatnonzero(words.text[1:] == words.text[:-1])
                 for slot, (places, signs), total in zip(slots, index, sums, strict=True):
@@ -194,7 +196,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, id_column: str = "doc_id"
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for run in runs(batch.column(2)):
+            for run in runs(batch.column(2), CHUNK):
                 x = pooled(run, sent.value)
                 part = batch.slice(run.rows.start, len(x))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), list_of(np.full(len(x), x.shape[1]), x.ravel())], ["_id", "_label", "x"])
@@ -214,16 +216,12 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, id_column: str = "doc_i
     """
     docs = docs.drop("held_out", "score", "predicted")
     model = docs.sparkSession.sparkContext.broadcast(fit_quality(docs, labels, id_column=id_column, text_column=text_column, label=label, sample=sample))
-    at = docs.columns.index(text_column)
-    source = docs.withColumn("held_out", held_out(F.col(id_column)))
-
-    def over(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batch_iter:
-            if not batch.num_rows:
-                continue
-            tables, net = model.value
-            score = np.concatenate([net.score(pooled(run, tables)) for run in runs(batch.column(at))])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score), pa.array((score >= 0.5).astype(np.int32))], [*batch.schema.names, "score", "predicted"])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema)
-    return source.mapInArrow(over, f"{schema}, score double, predicted int")
+
+    # only texts go to Python and only scores come back
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        tables, net = model.value
+        return pa.array(np.concatenate([np.zeros(0), *[net.score(pooled(run, tables)) for run in runs(texts, CHUNK)]]))
+
+    scored = docs.select("*", held_out(F.col(id_column)).alias("held_out"), score(F.col(text_column).cast("string")).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

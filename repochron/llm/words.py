@@ -106,8 +106,8 @@ class Words:
         return h
 
 
-def runs(column: pa.Array) -> Iterator[Run]:
-    """The texts of an Arrow string column in order; null is an empty text."""
+def runs(column: pa.Array, chunk: int = CHUNK_BYTES) -> Iterator[Run]:
+    """The texts of an Arrow string column in order, about ``chunk`` bytes at a time; null is an empty text."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if column.null_count:
@@ -118,7 +118,7 @@ def runs(column: pa.Array) -> Iterator[Run]:
     data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     i = 0
     while i < len(column):
-        j = max(i + 1, int(np.searchsorted(at, at[i] + CHUNK_BYTES, "right")) - 1)
+        j = max(i + 1, int(np.searchsorted(at, at[i] + chunk, "right")) - 1)
         yield Run(slice(i, j), data[at[i]:at[j]], at[i:j + 1] - at[i])
         i = j
 
