@@ -37,6 +37,10 @@ def safe_homepage(url) -> Column:
     return F.when(is_web & plain & (host != ""), F.concat(F.lower(host), F.when(rest.startswith("/"), rest).otherwise(F.concat(F.lit("/"), rest))))
 
 
+#: place of the limitations that stand after the session warnings
+LAST_LIMITATIONS = 1 << 60
+
+
 class Study:
     """Result tables for many repositories at once."""
 
@@ -69,7 +73,8 @@ class Study:
 
     @cached_property
     def skipped(self) -> DataFrame:
-        return documents.select_documents(self.files).filter("outcome in ('symlink', 'too-large')").select("repo_id", "path", F.col("outcome").alias("reason"))
+        unfit = documents.select_documents(self.files).filter("outcome in ('symlink', 'too-large')").select("repo_id", "path", F.col("outcome").alias("reason"))
+        return unfit.unionByName(documents.binary_documents(self.files, self._blobs))
 
     @cached_property
     def manifests(self) -> DataFrame:
@@ -263,12 +268,14 @@ class Study:
         kinds = row(mix, 4, F.col("text"), F.col("level"), E.drafts(self._history_draft()))
 
         supplied = self.session_summaries.groupBy("repo_id").agg(F.count(F.lit(1)).alias("n"), F.sum("events").alias("e"))
-        few = ranking.first_rows(self.session_summaries.select("repo_id", "session_id", "file"), ["repo_id"], [F.col("session_id")], 12).groupBy("repo_id").agg(
-            F.transform(F.array_sort(F.collect_list(F.struct("session_id", "file"))), lambda s: T.code_span(s["file"])).alias("f"))
-        # Up to twelve sessions are named in the sentence; every one has its own evidence row.
+        few = ranking.first_rows(self.session_summaries.select("repo_id", "session_id", "file"), ["repo_id"], [F.col("session_id")], 12).join(
+            self.session_list.select("repo_id", F.col("ord").alias("session_id"), "drafts"), ["repo_id", "session_id"]).groupBy("repo_id").agg(
+            F.transform(F.array_sort(F.collect_list(F.struct("session_id", "file"))), lambda s: T.code_span(s["file"])).alias("f"),
+            F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("session_id", "drafts"))), lambda s: s["drafts"])).alias("d"))
+        # Up to twelve sessions are named in the sentence and are its evidence; every one has its own evidence row.
         listed = F.when(F.col("n") <= 12, F.concat(F.lit(" ("), T.join_words("f"), F.lit(")"))).otherwise("")
         context = row(supplied.join(few, "repo_id"), 5, F.concat(T.plural("n", "development session"), listed, F.lit(" supplied "), T.plural("e", "event"), F.lit(" of additional context.")),
-                      F.lit("documented"), F.array().cast(E.DRAFTS_TYPE))
+                      F.lit("documented"), F.col("d").cast(E.DRAFTS_TYPE))
         return reduce(DataFrame.unionByName, [history, self.layout.select("repo_id", "ord", "text", "level", "drafts"), mostly, identified, kinds, context])
 
     @cached_property
@@ -299,14 +306,24 @@ class Study:
             F.when((test_files > 0) & F.col("rust_caveat"), "Rust unit tests written inside source files are not counted; test figures cover only separate test files, such as those under `tests/`."),
             F.when(test_files == 0, "No test files were detected by naming convention; tests embedded in source files (for example Rust unit tests) are not counted."),
             F.when(F.col("ci_configurations") == 0, "No CI configuration was found among tracked files."),
-            F.when(F.col("sessions").isNull(), "No development sessions were supplied, so decision rationale is limited to documentation and commit messages."),
+            F.when(F.col("sessions").isNull(), "No development sessions were supplied, so decision rationale is limited to documentation and commit messages.")))
+        last = F.array_compact(F.array(
             F.when(F.col("documented").isNull(), "No documented decisions were found; any decisions shown are inferred from history."),
             F.when(n > 0, F.concat(T.plural(n, "metadata or documentation file"), F.when(n == 1, " was").otherwise(" were"), F.lit(" not read ("), reasons, F.lit(").")))))
-        own = rows.select("repo_id", F.posexplode(lines).alias("pos", "text")).withColumn("pos", F.col("pos").cast("long"))
+        # session warnings stand between the two lists
+        placed = lambda texts, offset: rows.select("repo_id", F.posexplode(texts).alias("pos", "text")).withColumn("pos", F.col("pos").cast("long") + offset)
+        own = placed(lines, 0).unionByName(placed(last, LAST_LIMITATIONS))
         warned = self.session_summaries.select("repo_id", "session_id", "file", F.posexplode("warnings").alias("i", "w")).select(
             "repo_id", (F.lit(100) + F.col("session_id") * 8 + F.col("i")).alias("pos"), F.concat(F.lit("Session "), T.code_span("file"), F.lit(": "), F.col("w")).alias("text"))
         return own.unionByName(warned)
 
+    @cached_property
+    def bounded_limitations(self) -> DataFrame:
+        """All limitations but for session warnings after the first hundred of a repository."""
+        warned = F.col("pos").between(100, LAST_LIMITATIONS - 1)
+        first = ranking.first_rows(self.limitations.filter(warned), ["repo_id"], [F.col("pos")], 100).select("repo_id", "pos", "text")
+        return self.limitations.filter(~warned).unionByName(first)
+
     # ------------------------------------------------------------------ evidence
     @cached_property
     def evidence_uses(self) -> DataFrame:
@@ -375,7 +392,7 @@ class Study:
             (self.with_evidence(self.milestones, ["repo_id", "milestone"]), "milestone", "timeline"), (self.with_evidence(self.decisions, ["repo_id", "id"]), "pos", "decisions"),
             (self.with_evidence(self.engineering_findings, ["repo_id", "ord"]), "ord", "findings"),
             (self.with_evidence(self.selected_commits, ["repo_id", "sha"]), "seq", "selected_commits"),
-            (self.limitations.filter("pos < 100"), "pos", "limitations")]
+            (self.bounded_limitations, "pos", "limitations")]
         for df, order, name in parts:
             rows = rows.join(nested(df, order, name), "repo_id", "left")
         totals = self.evidence.groupBy("repo_id").agg(F.count(F.lit(1)).alias("evidence_items"))

@@ -262,7 +262,7 @@ KNOWN_ROLES = ["user", "human", "assistant", "ai", "model", "system", "tool", "d
 ROLE_WORDS = "user|human|me|assistant|ai|claude|codex|gpt|chatgpt|copilot|model|system|tool|developer"
 ASSISTANT_WORDS = ["ai", "claude", "codex", "gpt", "chatgpt", "copilot", "model"]
 TIMESTAMP_IN_LINE = r"\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(?::\d{2}(?:\.\d+)?)?(?:Z|[+-]\d{2}:?\d{2})?"
-SHELL_FENCE = r"(?i)^\s*(```|~~~)\s*(bash|sh|shell|console|zsh|fish|terminal|powershell|pwsh|ps1?|cmd)\s*\Z"
+SHELL_NAMES = "bash|sh|shell|console|zsh|fish|terminal|powershell|pwsh|ps1?|cmd"
 # Test-runner summary lines, tried in this order.  Java dialect (multi-line, dot-all parts).
 TEST_SUMMARY_PATTERNS = {
     "pass_fail": r"(?m)^\s*(\d+) pass\b(?s:.*?)^\s*(\d+) fail\b",

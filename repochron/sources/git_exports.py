@@ -36,65 +36,93 @@ def _count(text: str) -> int | None:
     return None if text == "-" else int(text)
 
 
-def commit_records(content: bytes, marker: str = RECORD_MARKER) -> Iterator[tuple]:
-    """Commits of one dump.  Tokens are read in order: a message may contain the marker."""
-    tokens = iter(content.decode("utf-8", "replace").split("\0"))
-    token = next(tokens, None)
-    while token is not None:
-        if token in ("", "\n"):
-            token = next(tokens, None)
+#: tokens of a header: the marker and seven fields
+_HEADER = 8
+_SHA = re.compile("[0-9a-f]{40,64}")
+
+
+def record_starts(tokens: list[str], marker: str) -> list[int]:
+    """Places of the header markers: a marker is one if an object id follows, and it is not itself a header's field."""
+    starts, clear = [], 0
+    for place, token in enumerate(tokens):
+        if place >= clear and token.removeprefix("\n") == marker and place + 1 < len(tokens) and _SHA.fullmatch(tokens[place + 1]):
+            starts.append(place)
+            clear = place + _HEADER
+    return starts
+
+
+def _changes(tokens: list[str]) -> list[dict]:
+    """Changed files of one record, in order of their first mention; ValueError where an entry is broken."""
+    found: dict[str, dict] = {}
+
+    def entry(path: str) -> dict:
+        return found.setdefault(path, {"pos": len(found), "path": path, "previous_path": None, "status": "unknown", "additions": 0, "deletions": 0})
+
+    rest = iter(tokens)
+    for token in rest:
+        token = token.removeprefix("\n")
+        if not token:
             continue
-        if token != marker:
-            raise ValueError(f"expected a commit header, found {token[:40]!r}")
-        header = [next(tokens, None) for _ in range(7)]
-        if header[-1] is None or not re.fullmatch("[0-9a-f]{40,64}", header[0]):
-            raise ValueError(f"broken commit header {header[0]!r}")
-        changes: dict[str, dict] = {}
-
-        def change(path: str, **facts) -> None:
-            fresh = {"pos": len(changes), "path": path, "previous_path": None, "status": "unknown", "additions": 0, "deletions": 0}
-            entry = changes.setdefault(path, fresh)
-            entry.update({k: v for k, v in facts.items() if k != "previous_path" or (v is not None and entry["previous_path"] is None)})
-
-        token = next(tokens, None)
-        while token is not None and not token.removeprefix("\n").startswith(marker):
-            entry = token.removeprefix("\n")
-            if entry.startswith(":"):
-                status = STATUS.get(entry[entry.rfind(" ") + 1:][:1], "unknown")
-                previous = next(tokens) if status in ("renamed", "copied") else None
-                change(next(tokens), status=status, previous_path=previous)
-            elif entry:
-                counts = _COUNTS.fullmatch(entry)
-                if not counts:
-                    raise ValueError(f"unrecognized change {entry[:40]!r}")
-                path, previous = counts[3], None
-                if not path:
-                    previous, path = next(tokens), next(tokens)
-                change(path, additions=_count(counts[1]), deletions=_count(counts[2]), previous_path=previous)
-            token = next(tokens, None)
-        token = token.removeprefix("\n") if token else token
-        sha, short, parents, author, authored, subject, body = header
-        yield sha, short, parents.split(), author, authored, subject, body.strip(), list(changes.values())
+        counts = None if token.startswith(":") else _COUNTS.fullmatch(token)
+        if counts is None and not token.startswith(":"):
+            raise ValueError(f"unrecognized change {token[:40]!r}")
+        status = None if counts else STATUS.get(token.rpartition(" ")[2][:1], "unknown")
+        moved = status in ("renamed", "copied") if status else not counts[3]
+        paths = [next(rest, None) for _ in range(1 + moved)] if status or moved else [counts[3]]
+        if None in paths:
+            raise ValueError(f"no path after {token[:40]!r}")
+        change = entry(paths[-1])
+        if moved and change["previous_path"] is None:
+            change["previous_path"] = paths[0]
+        change.update({"status": status} if status else {"additions": _count(counts[1]), "deletions": _count(counts[2])})
+    return list(found.values())
+
+
+def commit_records(content: bytes, marker: str = RECORD_MARKER) -> Iterator[tuple]:
+    """(record, None) of every commit of a dump, or (None, reason) where one is broken: only that one is lost."""
+    tokens = content.decode("utf-8", "replace").split("\0")
+    starts = record_starts(tokens, marker)
+    lead = [t for t in tokens[:starts[0] if starts else len(tokens)] if t.strip("\n")]
+    if lead:
+        yield None, f"expected a commit header, found {lead[0][:40]!r}"
+    for start, end in zip(starts, [*starts[1:], len(tokens)]):
+        header = tokens[start + 1:start + _HEADER]
+        try:
+            if len(header) < _HEADER - 1:
+                raise ValueError(f"broken commit header {header[0]!r}")
+            sha, short, parents, author, authored, subject, body = header
+            yield (sha, short, parents.split(), author, authored, subject, body.strip(), _changes(tokens[start + _HEADER:end])), None
+        except ValueError as problem:
+            yield None, f"{tokens[start + 1][:12]}: {problem}"
 
 
 def _scan(marker: str):
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for repo_id, part, content in zip(batch["repo_id"], batch["part"], batch["content"]):
-                rows = [(repo_id, part, pos, *record) for pos, record in enumerate(commit_records(bytes(content), marker))]
-                yield pd.DataFrame(rows, columns=_COLUMNS)
+                rows = [(repo_id, part, pos, *(record or [None] * 8), reason) for pos, (record, reason) in enumerate(commit_records(bytes(content), marker))]
+                yield pd.DataFrame(rows, columns=[*_COLUMNS, "reason"])
 
     return scan
 
 
 def scan_commit_log(dumps: DataFrame, marker: str = RECORD_MARKER) -> DataFrame:
-    """Commits with nested changes and ``seq`` (oldest 0) from dumps listing newest first."""
-    scanned = dumps.select("repo_id", "part", "content").mapInPandas(_scan(marker), _SCHEMA)
+    """Commits with nested changes and ``seq`` (oldest 0) from dumps listing newest first.
+
+    Records that cannot be read are left out; ``rejected_records`` has them.
+    """
+    scanned = dumps.select("repo_id", "part", "content").mapInPandas(_scan(marker), f"{_SCHEMA}, reason string").filter("reason is null").drop("reason")
     order = [F.col("part").desc(), F.col("log_pos").desc()]
     numbered = ranking.number_rows(scanned, ["repo_id"], -F.col("part"), order, "n")
     return numbered.withColumns({"seq": F.col("n") - 1, "n_parents": F.size("parents")}).drop("n", "part", "log_pos")
 
 
+def rejected_records(dumps: DataFrame, marker: str = RECORD_MARKER) -> DataFrame:
+    """(repo_id, part, log_pos, reason) of the records of dumps that cannot be read."""
+    scanned = dumps.select("repo_id", "part", "content").mapInPandas(_scan(marker), f"{_SCHEMA}, reason string")
+    return scanned.filter("reason is not null").select("repo_id", "part", "log_pos", "reason")
+
+
 def changes_of(scanned: DataFrame) -> DataFrame:
     return scanned.select("repo_id", "sha", "seq", F.explode("changes").alias("c")).select("repo_id", "sha", "seq", "c.*")
 

@@ -1,16 +1,13 @@
-"""Transcripts to normalized session events: JSON lines, JSON containers and plain text."""
+"""Transcripts to normalized session events: JSON lines and JSON containers; plain text is in ``text_transcripts``."""
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from repochron import rules
 from repochron.functions import text as T
+from repochron.sources.text_transcripts import session_turns
 
 # ---------------------------------------------------------------------- JSON shapes
 
@@ -204,106 +201,6 @@ def session_entries(entries: DataFrame) -> DataFrame:
         "v.kind", "role", "ts", clip(F.col("v.text")).alias("text"), clip(F.col("v.command")).alias("command"), "v.tool")
 
 
-# ---------------------------------------------------------------------- plain text transcripts
-_HEADING_SPEAKER = re.compile(rf"^\s{{0,3}}#{{1,6}}\s+(?:\*\*|__)?({rules.ROLE_WORDS})\b(?:\*\*|__)?\s*(.*)$", re.I)
-_INLINE_SPEAKER = re.compile(
-    rf"^\s{{0,3}}(?:\*\*|__)?\[?({rules.ROLE_WORDS})\]?(?:\*\*|__)?\s*(?:\([^)]*\))?\s*(?:\*\*|__)?\s*[:：]\s*(?:\*\*|__)?\s*(.*)$", re.I)
-_FENCE = re.compile(r"^\s*(```|~~~)")
-_SHELL = re.compile(rules.SHELL_FENCE)
-_STAMP = re.compile(rules.TIMESTAMP_IN_LINE)
-
-
-def _speaker(line: str) -> tuple[str, str] | None:
-    if match := _HEADING_SPEAKER.match(line):
-        return match[1].lower(), ""
-    if match := _INLINE_SPEAKER.match(line):
-        return match[1].lower(), match[2]
-    return None
-
-
-def text_turns(text: str) -> Iterator[tuple[int, str | None, str | None, list[tuple[int, str]]]]:
-    """(line, role word, raw timestamp, numbered lines) per turn; paragraphs when nobody is named."""
-    lines = re.split(r"\r?\n", text)
-    named = any(_speaker(line) for line in lines)
-    turn, fenced = None, False
-    for number, line in enumerate(lines, 1):
-        fenced ^= bool(_FENCE.match(line))
-        speaker = _speaker(line) if named and not fenced else None
-        blank = not line.strip()
-        if speaker or (blank and not named and not fenced):
-            if turn:
-                yield turn
-            turn = None
-        if speaker:
-            stamp = _STAMP.search(line)
-            turn = (number, speaker[0], stamp and stamp[0], [(number, speaker[1])] if speaker[1].strip() else [])
-        elif turn or not blank:
-            turn = turn or (number, None, None, [])
-            turn[3].append((number, line))
-    if turn:
-        yield turn
-
-
-def shell_events(lines: list[tuple[int, str]]) -> Iterator[tuple[str, str, str]]:
-    """(kind, id, text) of commands at prompts or in shell fences, and of the output after them."""
-    shell = other = prompted = False
-    output: tuple[str, list[str]] | None = None
-
-    def flush():
-        if output and "".join(output[1]).strip():
-            yield "result", output[0], "\n".join(output[1]).strip()
-
-    for number, line in lines:
-        if not shell and not other and _SHELL.match(line):
-            shell, prompted = True, False
-        elif _FENCE.match(line):
-            if shell:
-                yield from flush()
-                shell, output = False, None
-            else:
-                other = not other
-        elif (prompt := re.match(r"^\s*[$>❯]\s+(.+)$", line)) and (shell or (not other and re.match(r"^\s*\$\s", line))):
-            yield from flush()
-            prompted = True
-            yield "command", f"line {number}", prompt[1].strip()
-            output = (f"line {number}:output", [])
-        elif shell and not prompted:
-            if line.strip() and not line.strip().startswith("#"):
-                yield "command", f"line {number}", line.strip()
-        elif output and (shell or not other):
-            if not shell and not line.strip():
-                yield from flush()
-                output = None
-            else:
-                output[1].append(line)
-    yield from flush()
-
-
-def _scan_text(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = []
-        for session, text in zip(batch["session_id"], batch["text"]):
-            pos = 0
-            for line, word, stamp, lines in text_turns(text):
-                body = "\n".join(t for _, t in lines).strip()
-                if not body:
-                    continue
-                for kind, ident, content in [("message", f"line {line}", body[:rules.MAX_EVENT_TEXT]), *shell_events(lines)]:
-                    rows.append((session, pos, ident, kind, word, stamp, content))
-                    pos += 1
-        yield pd.DataFrame(rows, columns=["session_id", "pos", "id", "kind", "word", "stamp", "text"])
-
-
-def session_turns(sessions: DataFrame) -> DataFrame:
-    """Events of plain-text transcripts; ids are line numbers."""
-    rows = sessions.select("session_id", "text").mapInPandas(
-        _scan_text, "session_id long, pos long, id string, kind string, word string, stamp string, text string")
-    word = F.col("word")
-    role = F.when(word.isin("human", "me"), "user").when(word.isin(*rules.ASSISTANT_WORDS), "assistant").otherwise(word)
-    return rows.select("session_id", "pos", "id", "kind", role.alias("role"), T.normalize_timestamp("stamp").alias("ts"), "text",
-                       F.when(F.col("kind") == "command", F.col("text")).alias("command"), F.lit(None).cast("string").alias("tool"))
-
-
 def parse_sessions(sessions: DataFrame) -> DataFrame:
     """Events of accepted transcript files of all three formats."""
     of = lambda kind: sessions.filter((F.col("format") == kind) & F.col("text").isNotNull())

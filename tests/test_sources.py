@@ -20,13 +20,25 @@ def test_commit_log_entries():
     raw = "\n:1 1 a b M\0a.ts\0:1 1 a b R100\0old.ts\0new.ts\0:0 1 a b A\0img.png\0"
     counts = "3\t1\ta.ts\0" + "0\t0\t\0old.ts\0new.ts\0" + "-\t-\timg.png\0"
     text = _log(body=" body \n", tail=raw + counts) + _log(subject=f"mentions {MARK}", body=f"x{MARK}")
-    first, second = git_exports.commit_records(text.encode())
+    (first, _), (second, _) = git_exports.commit_records(text.encode())
     assert first[2] == ["p1", "p2"] and first[6] == "body"
     assert [(c["path"], c["status"], c["previous_path"], c["additions"]) for c in first[7]] == [
         ("a.ts", "modified", None, 3), ("new.ts", "renamed", "old.ts", 0), ("img.png", "added", None, None)]
     assert second[5] == f"mentions {MARK}" and second[7] == []
 
 
+def test_a_broken_record_loses_itself_only(spark):
+    broken = _log(subject="broken", tail="\n:1 1 a b M\0a.ts\0nonsense\0")
+    cut = _log(subject="cut", tail="\n:1 1 a b R100\0old.ts")
+    short = "\0".join([MARK, SHA, "aaaaaaa", "", "Ann"])
+    text = "noise\0" + _log(subject="one", tail="\n3\t1\ta.ts\0") + broken + _log(subject=MARK, body="two") + cut + "\0" + _log(subject="three") + short
+    dumps = spark.createDataFrame([(1, 0, bytearray(text.encode())), (2, 0, bytearray(b"")), (3, 0, bytearray(b"\xff\0"))], "repo_id long, part long, content binary")
+    read = git_exports.scan_commit_log(dumps).orderBy("seq").collect()
+    assert [(r.repo_id, r.seq, r.subject, len(r.changes)) for r in read] == [(1, 0, "three", 0), (1, 1, MARK, 0), (1, 2, "one", 1)]
+    rejected = git_exports.rejected_records(dumps).orderBy("repo_id", "log_pos").collect()
+    assert [(r.repo_id, r.reason.split(": ")[-1].split()[0]) for r in rejected] == [(1, "expected"), (1, "unrecognized"), (1, "no"), (1, "broken"), (3, "expected")]
+
+
 def test_toml_and_ini_manifests(spark):
     docs = spark.createDataFrame([
         (1, "Cargo.toml", '[package]\nname = "x" # name\n[dependencies]\nserde = { version = "1" }\n[dependencies.clap]\nversion = "4"\n[dev-dependencies]\ncriterion = "0.5"\n'),
@@ -45,12 +57,25 @@ def test_toml_and_ini_manifests(spark):
     assert 7 not in rows
 
 
-def test_ci_steps():
-    text = ("jobs:\n  a:\n    steps:\n      - uses: actions/checkout@v4\n      - run: \"npm test\" # note\n      - run: |\n          cat <<EOF\n          npm test\n          EOF\n"
-            "          cargo \\\n            build\n      - script: [one, 'two']\n      - script:\n          - make lint\n")
-    assert list(ci.step_rows(text)) == [
+def _ci(spark, *texts):
+    docs = spark.createDataFrame([(i, ".github/workflows/a.yml", t) for i, t in enumerate(texts)], "repo_id long, path string, text string")
+    rows = ci.ci_entries(docs).orderBy("repo_id", "pos").collect()
+    return [[(r.entry, r.line, r.value) for r in rows if r.repo_id == i] for i in range(len(texts))]
+
+
+def test_ci_steps(spark):
+    steps = ("jobs:\n  a:\n    steps:\n      - uses: actions/checkout@v4\n      - run: \"npm test\" # note\n      - run: |\n          cat <<EOF\n          npm test\n          EOF\n"
+             "          cargo \\\n            build\n      - script: [one, 'two']\n      - script:\n          - make lint\n")
+    # keys inside blocks and lists are text; an item that opens a block in a list opens none
+    nested = "run: |\n  script: a\n  uses: b\n\n  cat <<X\n  <<Y\n  X\n  c\\\n\nscript:\n- run: |\n  run: d\ncommands: e\ncommand: f\nrun: [g, h\nrun: |\n"
+    got = _ci(spark, steps, nested, "", "a: b")
+    assert got[0] == [
         ("action", 4, "actions/checkout@v4"), ("command", 5, "npm test"), ("command", 7, "cat <<EOF"), ("command", 10, "cargo build"),
         ("command", 12, "one"), ("command", 12, "two"), ("command", 14, "make lint")]
+    assert got[1] == [
+        ("command", 2, "script: a"), ("command", 3, "uses: b"), ("command", 5, "cat <<X"), ("command", 8, "c"), ("command", 11, "run: |"), ("command", 12, "d"),
+        ("command", 14, "f"), ("command", 15, "g"), ("command", 15, "")][:-1]
+    assert got[2] == got[3] == []
 
 
 def test_markdown_fences_of_both_kinds(spark):
@@ -86,6 +111,30 @@ def test_text_transcript(spark):
     assert [e.id for e in events if e.kind == "message"] == ["line 1", "line 2"] and events[1].ts == "2024-05-01T10:30:00.000Z"
 
 
+def _turns(spark, *texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), "session_id long, text string").repartition(2)
+    events = transcripts.session_turns(rows).orderBy("session_id", "pos").collect()
+    return [[(e.id, e.kind, e.role, e.text) for e in events if e.session_id == i] for i in range(len(texts))]
+
+
+def test_turns_and_paragraphs(spark):
+    notes = "# Session notes\n\n**User:** Can we?\n\n**Assistant (2024-05-01 10:30):** The cause.\nI chose.\n\n```console\n$ bun test\n 40 pass\n 0 fail\n```\n\n## User\nThanks!"
+    plain = "First paragraph here.\n\nSecond paragraph\ncontinues.\n"
+    shells = ("AI:\n$ a\nout 1\n```sh\n# note\nb\n> c\nout 2\n\nout 3\n```\nlost\n```text\n$ d\nUser: e\n```\n$ f\n```js\ng\n```\nout 4\n\nlost\nMe: \n\n❯ h")
+    got = _turns(spark, notes, plain, shells, "", " \n\n")
+    assert got[0] == [
+        ("line 1", "message", None, "# Session notes"), ("line 3", "message", "user", "Can we?"),
+        ("line 5", "message", "assistant", "The cause.\nI chose.\n\n```console\n$ bun test\n 40 pass\n 0 fail\n```"),
+        ("line 9", "command", "assistant", "bun test"), ("line 9:output", "result", "assistant", "40 pass\n 0 fail"), ("line 14", "message", "user", "Thanks!")]
+    assert got[1] == [("line 1", "message", None, "First paragraph here."), ("line 3", "message", None, "Second paragraph\ncontinues.")]
+    # an output ends at the next prompt, with its block, or at a blank line outside; other blocks are not part of it
+    assert [(i, k, t) for i, k, _, t in got[2] if k != "message"] == [
+        ("line 2", "command", "a"), ("line 6", "command", "b"), ("line 2:output", "result", "out 1"), ("line 7", "command", "c"), ("line 7:output", "result", "out 2\n\nout 3"),
+        ("line 17", "command", "f"), ("line 17:output", "result", "out 4")]
+    assert [(i, r) for i, k, r, _ in got[2] if k == "message"] == [("line 1", "assistant"), ("line 24", "user")]
+    assert got[3] == got[4] == []
+
+
 def test_accepted_sentences_equal_a_plain_fold(spark):
     rng = random.Random(11)
     rows = [(repo, session, pos, spos, f"k{rng.randint(0, 25)}") for repo in (1, 2) for session in range(4) for pos in range(12) for spos in range(rng.randint(0, 5))]
