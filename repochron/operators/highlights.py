@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from repochron import rules
@@ -56,37 +56,48 @@ def commit_score(candidates: DataFrame, decision_shas: DataFrame) -> DataFrame:
     return rows.withColumns({"score": F.round(score, 9), "reasons": reasons})
 
 
+#: more than any score in either direction, and more commits than a repository has
+_SCORE_SPAN, _POSITIONS = 14, 1 << 28
+
+
+def order_key(score: str = "score", seq: str = "seq") -> Column:
+    """Scores from the greatest on, to all nine digits, equal ones by position, as one BIGINT."""
+    return (F.lit(_SCORE_SPAN * 10**9) - F.round(F.col(score) * 10**9)).cast("long") * F.lit(_POSITIONS) + F.col(seq)
+
+
 def commit_score_rank(scored: DataFrame) -> DataFrame:
-    """Rank by score, then position; scores of a huge repository are never sorted in one task.
+    """Rank by score, then position; scores of a huge repository are never sorted in one task."""
+    return ranking.number_rows_by_key(scored.withColumn("_key", order_key()), ["repo_id"], "_key", "rank").drop("_key")
 
-    Score (six digits) and position fit one BIGINT key, so bucketed numbering applies.
-    """
-    key = (F.lit(20_000_000) - F.round(F.col("score") * 1_000_000)).cast("long") * F.lit(1 << 36) + F.col("seq")
-    return ranking.number_rows_by_key(scored.withColumn("_key", key), ["repo_id"], "_key", "rank").drop("_key")
 
+def with_median(scored: DataFrame) -> DataFrame:
+    """Adds the number of eligible commits and the score at floor(n / 2) of the descending list.
+
+    The median is found by counting; no ranking of the commits is made for it.
+    """
+    totals = scored.groupBy("repo_id").agg(F.count(F.lit(1)).alias("eligible"))
+    keyed = scored.select("repo_id", "score", order_key().alias("_key")).join(totals, "repo_id").withColumn("_k", F.floor(F.col("eligible") / 2) + 1)
+    medians = ranking.row_at(keyed, ["repo_id"], "_key", "_k").select("repo_id", F.col("score").alias("median"))
+    return scored.join(totals.join(medians, "repo_id"), "repo_id")
 
-def with_median(ranked: DataFrame) -> DataFrame:
-    """Adds the number of eligible commits and the score at floor(n / 2) of the descending list."""
-    totals = ranked.groupBy("repo_id").agg(F.count(F.lit(1)).alias("eligible"))
-    placed = ranked.join(totals, "repo_id")
-    medians = placed.filter(F.col("rank") == F.floor(F.col("eligible") / 2) + 1).select("repo_id", F.col("score").alias("median"))
-    return placed.join(medians, "repo_id")
 
+def milestone_best_commit(scored: DataFrame) -> DataFrame:
+    """Best commit of each milestone, if it is no worse than the median of the repository."""
+    best = scored.groupBy(*M).agg(F.min(order_key()).alias("_best"))
+    return scored.join(best, M).filter((order_key() == F.col("_best")) & (F.col("score") >= F.col("median"))).drop("_best")
 
-def milestone_best_commit(ranked: DataFrame) -> DataFrame:
-    """Best-ranked commit of each milestone, if it is no worse than the median."""
-    best = ranked.groupBy(*M).agg(F.min("rank").alias("rank"))
-    return ranked.join(best, ["repo_id", "milestone", "rank"], "left_semi").filter(F.col("score") >= F.col("median"))
 
+def selected_commits(scored: DataFrame, changes: DataFrame) -> DataFrame:
+    """Up to six commits: the best of each milestone first, filled up by score, shown by position.
 
-def selected_commits(ranked: DataFrame, changes: DataFrame) -> DataFrame:
-    """Up to six commits: the best of each milestone first, filled up by rank, shown by position."""
-    best = milestone_best_commit(ranked).select(*KEY, F.lit(0).alias("tier"))
-    # Whatever is chosen is a milestone's best or among the first six: only those compete.
-    tiered = ranked.join(best, KEY, "left").filter(F.col("tier").isNotNull() | (F.col("rank") <= rules.MAX_SELECTED_COMMITS))
-    wanted = F.least(F.lit(rules.MAX_SELECTED_COMMITS), F.greatest(F.lit(1), F.ceil(F.col("eligible") / 3)))
-    chosen = ranking.first_rows(
-        tiered.withColumn("wanted", wanted), ["repo_id"], [F.coalesce("tier", F.lit(1)), F.col("rank")], rules.MAX_SELECTED_COMMITS, "place").filter("place <= wanted")
+    ``scored`` carries the median (``with_median``).  The six are found by group limits.
+    """
+    order, six = [order_key()], rules.MAX_SELECTED_COMMITS
+    best = ranking.first_rows(milestone_best_commit(scored), ["repo_id"], order, six, "place").withColumn("tier", F.lit(0))
+    others = ranking.first_rows(scored, ["repo_id"], order, six, "place").join(best.select(*KEY), KEY, "left_anti").withColumn("tier", F.lit(1))
+    wanted = F.least(F.lit(six), F.greatest(F.lit(1), F.ceil(F.col("eligible") / 3)))
+    both = best.unionByName(others).drop("place").withColumn("wanted", wanted)
+    chosen = ranking.first_rows(both, ["repo_id"], [F.col("tier"), *order], six, "place").filter("place <= wanted")
     files = ranking.first_rows(changes.join(chosen.select(*KEY), KEY, "left_semi"), KEY, [F.col("pos")], 10, "r").groupBy(*KEY).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("r", "path"))), lambda s: s["path"]).alias("files"))
     n = F.col("files_changed")

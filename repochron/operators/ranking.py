@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from repochron.session import stage
+
 #: rows of one group that share a bucket when the order column is a dense position
 BLOCK_ROWS = 65536
 
@@ -59,6 +61,12 @@ def number_rows(
     )
 
 
+def _key_limits(df: DataFrame, group: Sequence[str], key: str, buckets: int) -> DataFrame:
+    """Approximate quantiles of the key in each group, written: another run of the sketch may give other ones."""
+    steps = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
+    return stage(df.groupBy(*group).agg(F.percentile_approx(key, steps, 1000).alias("_limits")))
+
+
 def number_rows_by_key(df: DataFrame, group: Sequence[str], key: str, name: str, *, buckets: int = 256) -> DataFrame:
     """One-based row number along a unique BIGINT ``key``.
 
@@ -66,13 +74,32 @@ def number_rows_by_key(df: DataFrame, group: Sequence[str], key: str, name: str,
     aggregation, so equal-sized buckets come out whatever the distribution; the numbers
     themselves are exact because any limits split the order consistently.
     """
-    steps = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    limits = df.groupBy(*group).agg(F.percentile_approx(key, steps, 1000).alias("_limits"))
+    limits = _key_limits(df, group, key, buckets)
     bucketed = df.join(limits, list(group)).withColumn(
         "_slot", F.size(F.filter("_limits", lambda limit: limit < F.col(key))).cast("long"))
     return number_rows(bucketed.drop("_limits"), group, F.col("_slot"), [F.col(key)], name).drop("_slot")
 
 
+def row_at(df: DataFrame, group: Sequence[str], key: str, place: str, *, buckets: int = 256) -> DataFrame:
+    """The row at the one-based ``place`` (a column, one value in a group) along a unique BIGINT ``key``.
+
+    Rows are counted by buckets of the key, so only the rows of the one bucket that holds the place
+    are put in order: no group is ever sorted.
+    """
+    places = df.groupBy(*group).agg(F.min(place).alias("_place"))
+    limits = _key_limits(df, group, key, buckets)
+    slotted = df.join(places, list(group)).join(limits, list(group)).withColumn("_slot", F.size(F.filter("_limits", lambda limit: limit < F.col(key))))
+    counts = slotted.groupBy(*group, "_slot").agg(F.count(F.lit(1)).alias("_n"), F.min("_place").alias("_place"))
+    # at most ``buckets`` rows of a group
+    upto = Window.partitionBy(*group).orderBy("_slot").rowsBetween(Window.unboundedPreceding, 0)
+    counts = counts.withColumn("_upto", F.sum("_n").over(upto))
+    wanted = counts.filter((F.col("_upto") >= F.col("_place")) & (F.col("_upto") - F.col("_n") < F.col("_place"))).select(
+        *group, "_slot", (F.col("_place") - F.col("_upto") + F.col("_n")).alias("_inside"))
+    near = slotted.drop("_limits", "_place").join(wanted, [*group, "_slot"])
+    order = Window.partitionBy(*group).orderBy(key)
+    return near.withColumn("_at", F.row_number().over(order)).filter(F.col("_at") == F.col("_inside")).drop("_slot", "_inside", "_at")
+
+
 def first_rows(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int, name: str = "rank") -> DataFrame:
     """The first ``k`` rows of each group.
 

@@ -114,8 +114,8 @@ class Study:
     def selected_commits(self) -> DataFrame:
         candidates = highlights.eligible(highlights.commit_context(self.members, self.reachable_tags))
         scored = stage(highlights.commit_score(candidates, decisions.decision_shas(self.commit_decisions)))
-        ranked = highlights.with_median(highlights.commit_score_rank(scored))
-        return stage(highlights.selected_commits(ranked, self.changes))
+        judged = highlights.with_median(stage(scored))
+        return stage(highlights.selected_commits(judged, self.changes))
 
     # ------------------------------------------------------------------ facts
     @cached_property

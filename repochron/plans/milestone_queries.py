@@ -265,13 +265,12 @@ def commit_score_rank(c):
 
 @query("milestone_best_commit", "SELECT repo_id, milestone, sha FROM best WHERE is_best", X)
 def milestone_best_commit(c):
-    return highlights.milestone_best_commit(highlights.with_median(highlights.commit_score_rank(_scored(c)))).select("repo_id", "milestone", "sha")
+    return highlights.milestone_best_commit(highlights.with_median(_scored(c))).select("repo_id", "milestone", "sha")
 
 
 @query("top_selected_commits", "SELECT repo_id, sha, 'M' || milestone AS milestone FROM chosen", X)
 def top_selected_commits(c):
-    ranked = highlights.with_median(highlights.commit_score_rank(_scored(c)))
-    return highlights.selected_commits(ranked, c.changes()).select("repo_id", "sha", "milestone")
+    return highlights.selected_commits(highlights.with_median(_scored(c)), c.changes()).select("repo_id", "sha", "milestone")
 
 
 @query("selected_commits")

@@ -123,7 +123,7 @@ def stream_session_events(c):
     folder = f"{shared_folder(c.spark)}/stream-{uuid.uuid4().hex}"
     X.stream_lines(c).write.text(f"{folder}/in")
     stream.run_available(c.spark, f"{folder}/in", f"{folder}/state", f"{folder}/rejects", f"{folder}/summary")
-    return c.spark.read.parquet(f"{folder}/summary")
+    return stream.read_summary(c.spark, f"{folder}/summary")
 
 
 # ---------------------------------------------------------------------- evidence on given drafts

@@ -7,6 +7,7 @@ Entries go through the batch normalization, so the running summary equals the ba
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,8 +31,8 @@ def split_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return entries, filled.filter("entry is null").select("session_id", "value")
 
 
-def running_summary(entries: DataFrame) -> DataFrame:
-    """Events, commands and time span per session; state is one row per session."""
+def summary_of(entries: DataFrame) -> DataFrame:
+    """Events, commands and time span per session."""
     events = S.session_entries(entries)
     return events.groupBy("session_id").agg(
         F.count(F.lit(1)).alias("events"), F.count_if(F.col("kind") == "command").alias("commands"),
@@ -39,16 +40,32 @@ def running_summary(entries: DataFrame) -> DataFrame:
 
 
 def run_available(spark: SparkSession, folder: str, checkpoint: str, rejects_path: str, summary_path: str) -> None:
-    """Processes what has arrived: rejects are appended, the summary table is replaced per batch."""
-    entries, _ = split_lines(read_lines(spark, folder))
-    _, rejects = split_lines(read_lines(spark, folder))
-    bad = (rejects.writeStream.format("parquet").option("path", rejects_path).option("checkpointLocation", f"{checkpoint}/rejects")
-           .outputMode("append").trigger(availableNow=True).start())
-
-    def replace(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(summary_path)
-
-    good = (running_summary(entries).writeStream.foreachBatch(replace).option("checkpointLocation", f"{checkpoint}/summary")
-            .outputMode("complete").trigger(availableNow=True).start())
-    bad.awaitTermination()
-    good.awaitTermination()
+    """Processes what has arrived, one read of it for both outputs.
+
+    Every micro-batch owns the folder of its number in each output and replaces it whole, so a batch
+    that runs again after a failure leaves the same tables, and what earlier batches wrote is never
+    touched.  The stream itself keeps no state: a session's figures are sums over its batches
+    (``read_summary``), however late a line comes.
+    """
+
+    def ingest(batch: DataFrame, number: int) -> None:
+        batch = batch.persist(StorageLevel.DISK_ONLY)
+        entries, rejects = split_lines(batch)
+        rejects.write.mode("overwrite").parquet(f"{rejects_path}/batch={number}")
+        summary_of(entries).write.mode("overwrite").parquet(f"{summary_path}/batch={number}")
+        batch.unpersist()
+
+    stream = read_lines(spark, folder).writeStream.foreachBatch(ingest).option("checkpointLocation", checkpoint)
+    stream.trigger(availableNow=True).start().awaitTermination()
+
+
+def read_summary(spark: SparkSession, summary_path: str) -> DataFrame:
+    """The summary of all batches so far, one row per session."""
+    parts = spark.read.parquet(summary_path)
+    return parts.groupBy("session_id").agg(
+        F.sum("events").alias("events"), F.sum("commands").alias("commands"), F.min("first_timestamp").alias("first_timestamp"), F.max("last_timestamp").alias("last_timestamp"))
+
+
+def compact(spark: SparkSession, summary_path: str, target: str) -> None:
+    """Writes the summary of all batches as one batch of a new folder, for readers of long streams."""
+    read_summary(spark, summary_path).write.mode("overwrite").parquet(f"{target}/batch=0")

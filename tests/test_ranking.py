@@ -5,7 +5,7 @@ import random
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from repochron.operators import ranking
+from repochron.operators import highlights, ranking
 
 
 def _skewed(spark):
@@ -37,3 +37,21 @@ def test_first_rows_limits_before_the_shuffle(spark):
     df = _skewed(spark)
     plan = ranking.first_rows(df, ["repo_id"], [F.col("key")], 3)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2
+
+
+def test_row_at_equals_a_sort(spark):
+    rng = random.Random(9)
+    rows = [(g, rng.randint(-10**15, 10**15) if g else i, n) for g, n in ((0, 700), (1, 501), (2, 1)) for i in range(n)]
+    df = spark.createDataFrame(rows, "g int, k long, n long").withColumn("place", F.floor(F.col("n") / 2) + 1).repartition(5)
+    got = {r.g: r.k for r in ranking.row_at(df, ["g"], "k", "place", buckets=8).collect()}
+    assert got == {g: sorted(k for h, k, _ in rows if h == g)[n // 2] for g, n in ((0, 700), (1, 501), (2, 1))}
+
+
+def test_scores_that_differ_in_the_ninth_digit_are_told_apart(spark):
+    scores = [5.000000001, 5.000000002, 5.000000002, 5.0, -3.0, 13.0, 5.000000003]
+    df = spark.createDataFrame([(1, i, s, 1) for i, s in enumerate(scores)], "repo_id long, seq long, score double, milestone long")
+    ranked = {r.seq: r.rank for r in highlights.commit_score_rank(df).collect()}
+    assert sorted(ranked, key=ranked.get) == [5, 6, 1, 2, 0, 3, 4]
+    judged = highlights.with_median(df)
+    assert {(r.median, r.eligible) for r in judged.collect()} == {(5.000000002, 7)}
+    assert [r.seq for r in highlights.milestone_best_commit(judged).collect()] == [5]

@@ -188,3 +188,27 @@ def test_times_without_a_zone_are_utc(spark):
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)
     assert got == ["2024-05-01T10:30:00.000Z", "2024-05-01T10:30:05.250Z", "2024-05-01T00:00:00.000Z", "2024-05-01T08:30:00.000Z", "2024-05-01T10:30:00.000Z"]
+
+
+def test_a_replayed_batch_and_late_lines_leave_the_same_summary(spark, tmp_path):
+    from repochron.streaming import sessions as stream
+
+    line = lambda session, pos, **more: json.dumps({"session": session, "pos": pos, "ts": 1700000000 + 60 * pos, **more})
+    arrive = lambda name, lines: (tmp_path / "in" / name).write_text("\n".join(lines) + "\n")
+    (tmp_path / "in").mkdir()
+    run = lambda: stream.run_available(spark, f"{tmp_path}/in", f"{tmp_path}/state", f"{tmp_path}/rejects", f"{tmp_path}/summary")
+    read = lambda: {r.session_id: (r.events, r.commands, r.first_timestamp[:16], r.last_timestamp[:16]) for r in stream.read_summary(spark, f"{tmp_path}/summary").collect()}
+    arrive("a.txt", [line(1, 5, text="x"), line(1, 6, command="make"), "{broken", line(2, 0, text="y")])
+    run()
+    assert read() == {1: (2, 1, "2023-11-14T22:18", "2023-11-14T22:19"), 2: (1, 0, "2023-11-14T22:13", "2023-11-14T22:13")}
+    arrive("b.txt", [line(1, 0, text="late"), "also broken"])
+    run()
+    after = {1: (3, 1, "2023-11-14T22:13", "2023-11-14T22:19"), 2: (1, 0, "2023-11-14T22:13", "2023-11-14T22:13")}
+    assert read() == after and spark.read.parquet(f"{tmp_path}/rejects").count() == 2
+    # the last batch is taken for unfinished and runs again
+    for name in ("1", ".1.crc"):
+        (tmp_path / "state" / "commits" / name).unlink(missing_ok=True)
+    run()
+    assert read() == after and spark.read.parquet(f"{tmp_path}/rejects").count() == 2
+    stream.compact(spark, f"{tmp_path}/summary", f"{tmp_path}/whole")
+    assert {r.session_id: r.events for r in stream.read_summary(spark, f"{tmp_path}/whole").collect()} == {1: 3, 2: 1}
