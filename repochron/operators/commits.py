@@ -9,21 +9,19 @@ from repochron import rules
 from repochron.functions import commits as C
 from repochron.functions import paths as P
 from repochron.functions import text as T
+from repochron.operators.path_dictionary import join_facts, path_facts
 
 KEY = ["repo_id", "sha"]
 
 
 def change_facts(changes: DataFrame) -> DataFrame:
     """One row per commit with changes; a single aggregation with map-side partials."""
-    counted = ~P.is_lockfile("path")
-    lines = lambda c: F.coalesce(F.sum(F.when(counted, F.col(c))), F.lit(0)).cast("long").alias(c)
-    touched_test = P.is_test_source("path")
-    flagged = changes.select(
-        *KEY, "path", "previous_path", "additions", "deletions",
-        P.is_documentation("path").alias("d"), P.is_test("path").alias("t"), P.ci_system("path").isNotNull().alias("c"),
-        (P.is_lockfile("path") | P.is_manifest("path")).alias("b"), touched_test.alias("ts"),
-        P.is_vendored("path").alias("v"), P.is_lockfile("path").alias("l"),
-        F.coalesce(P.is_test_source("previous_path"), F.lit(False)).alias("pts"))
+    facts = path_facts(changes, ["path", "previous_path"], {
+        "d": P.is_documentation, "t": P.is_test, "c": lambda p: P.ci_system(p).isNotNull(), "b": lambda p: P.is_lockfile(p) | P.is_manifest(p),
+        "ts": P.is_test_source, "v": P.is_vendored, "l": P.is_lockfile})
+    lines = lambda c: F.coalesce(F.sum(F.when(~F.col("l"), F.col(c))), F.lit(0)).cast("long").alias(c)
+    named = join_facts(changes.select(*KEY, "path", "previous_path", "additions", "deletions"), facts, "path")
+    flagged = join_facts(named, facts.select("known_path", "ts"), "previous_path", "p").withColumn("pts", F.coalesce("pts", F.lit(False)))
     return flagged.groupBy(*KEY).agg(
         F.count(F.lit(1)).alias("files_changed"), lines("additions"), lines("deletions"),
         F.bool_and("d").alias("only_docs"), F.bool_and("t").alias("only_tests"), F.bool_and("c").alias("only_ci"),

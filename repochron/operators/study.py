@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from functools import cached_property, reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from repochron import rules
@@ -416,16 +417,57 @@ class Study:
                              F.to_json(F.struct(*[c for c in df.columns if c not in ("repo_id", "ord", "place", "area_ord")])).alias("json")) for name, (df, order) in tables.items()]
         return reduce(DataFrame.unionByName, records)
 
-    def write_tables(self, folder: str) -> None:
-        """All result tables as Parquet, partitioned by repository."""
+    def _clustered(self, table: DataFrame) -> DataFrame:
+        """Rows of one repository together, in parts of the advised size: few files for small ones, large ones split."""
+        return table.hint("rebalance", F.col("repo_id"))
+
+    def write_tables(self, folder: str) -> int:
+        """All result tables as Parquet, partitioned by repository, as the next generation under ``folder``.
+
+        A generation is listed after its last table is written, so ``read_table`` never sees half a set.
+        """
+        number = next_generation(self.commits.sparkSession, folder)
         for name in ("summaries", "metrics", "languages", "technologies", "milestones", "members", "decisions", "findings", "selected_commits",
                      "session_summaries", "evidence", "limitations", "overview", "identity"):
-            table: DataFrame = getattr(self, name)
-            table.write.mode("overwrite").partitionBy("repo_id").parquet(f"{folder}/{name}")
+            self._clustered(getattr(self, name)).write.mode("overwrite").partitionBy("repo_id").parquet(f"{folder}/{number}/{name}")
+        return list_generation(self.commits.sparkSession, folder, number)
+
+    def write_json(self, folder: str) -> int:
+        """The report records as JSON lines, one folder per repository, as the next generation under ``folder``."""
+        number = next_generation(self.commits.sparkSession, folder)
+        self._clustered(self.report_records).write.mode("overwrite").partitionBy("repo_id").json(f"{folder}/{number}/records")
+        return list_generation(self.commits.sparkSession, folder, number)
+
+
+def next_generation(spark: SparkSession, folder: str) -> int:
+    """The number after the last one that is listed; what an unfinished run left there is written over."""
+    last = latest_generation(spark, folder)
+    return 0 if last is None else last + 1
+
+
+def list_generation(spark: SparkSession, folder: str, number: int) -> int:
+    """Appends a generation to the list that readers look at."""
+    spark.range(number, number + 1, 1, 1).select(F.col("id").alias("generation")).write.mode("append").parquet(f"{folder}/generations")
+    return number
+
+
+def latest_generation(spark: SparkSession, folder: str) -> int | None:
+    try:
+        return spark.read.schema("generation long").parquet(f"{folder}/generations").agg(F.max("generation")).first()[0]
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table of the latest complete generation."""
+    return spark.read.parquet(f"{folder}/{latest_generation(spark, folder)}/{name}")
+
 
-    def write_json(self, folder: str) -> None:
-        """The report records as JSON lines, one folder per repository."""
-        self.report_records.write.mode("overwrite").partitionBy("repo_id").json(folder)
+def read_records(spark: SparkSession, folder: str) -> DataFrame:
+    """The report records of the latest complete generation."""
+    return spark.read.schema("repo_id long, section string, pos long, json string").json(f"{folder}/{latest_generation(spark, folder)}/records")
 
 
 def skipped_documents(skipped: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from repochron.functions import paths as P
 from repochron.functions import text as T
 from repochron.operators import evidence as E
 from repochron.operators import metrics, ranking
+from repochron.operators.path_dictionary import join_facts, path_facts
 
 
 def marker_table(spark: SparkSession, markers=None) -> DataFrame:
@@ -180,17 +181,17 @@ def technologies(signal_rows: DataFrame) -> DataFrame:
 def marker_history(commits: DataFrame, changes: DataFrame, files: DataFrame) -> DataFrame:
     """Per tool: first addition, last removal, presence at HEAD.
 
-    Matching runs map-side and drops almost every change before the one aggregation; the
-    few commits kept are joined afterwards for their names and dates.
+    Every distinct path is matched once, and only paths that match are joined; the few commits
+    kept are joined afterwards for their names and dates.
     """
-    own = changes.filter(~P.is_vendored("path")).select(
-        "repo_id", "sha", "seq", "pos", "path", "previous_path", "status",
-        matching_markers("path").alias("now"),
-        F.coalesce(matching_markers("previous_path"), F.array().cast("array<int>")).alias("before"))
-    status, now, before = F.col("status"), F.col("now"), F.col("before")
+    facts = path_facts(changes, ["path", "previous_path"], {"markers": matching_markers, "vendored": P.is_vendored})
+    facts = facts.filter("vendored or size(markers) > 0")
+    own = join_facts(changes.select("repo_id", "sha", "seq", "pos", "path", "previous_path", "status"), facts, "path").filter("vendored is null or not vendored")
+    own = join_facts(own, facts.select("known_path", "markers"), "previous_path", "old_")
+    none = F.array().cast("array<int>")
+    status, now, before = F.col("status"), F.coalesce("markers", none), F.coalesce("old_markers", none)
     added = F.when(status.isin("added", "renamed", "copied"), F.array_except(now, before))
     removed = F.when(status == "deleted", now).when(status == "renamed", F.array_except(before, now))
-    none = F.array().cast("array<int>")
     events = own.withColumns({"added": F.coalesce(added, none), "removed": F.coalesce(removed, none)}).filter(
         (F.size("added") > 0) | (F.size("removed") > 0))
     tagged = events.select(

@@ -262,7 +262,7 @@ def case_study_json(c):
     """Report records written as JSON per repository and read back; the commit section is compared."""
     folder = f"{shared_folder(c.spark)}/json-{uuid.uuid4().hex}"
     I.study(c).write_json(folder)
-    commits = c.spark.read.schema("repo_id long, section string, pos long, json string").json(folder).filter("section = 'commits'")
+    commits = ST.read_records(c.spark, folder).filter("section = 'commits'")
     field = lambda name: F.get_json_object("json", f"$.{name}")
     return commits.select("repo_id", "pos", *[field(n).alias(n) for n in ("sha", "kind", "source", "subject")], field("additions").cast("long").alias("additions"))
 
@@ -272,4 +272,4 @@ def write_tables(c):
     """All result tables written partitioned by repository; the commit table is read back."""
     folder = f"{shared_folder(c.spark)}/tables-{uuid.uuid4().hex}"
     I.study(c).write_tables(folder)
-    return c.spark.read.parquet(f"{folder}/summaries").groupBy(F.col("repo_id").cast("long").alias("repo_id")).agg(F.count(F.lit(1)).alias("commits"), F.count_if("is_merge").alias("merges"))
+    return ST.read_table(c.spark, folder, "summaries").groupBy(F.col("repo_id").cast("long").alias("repo_id")).agg(F.count(F.lit(1)).alias("commits"), F.count_if("is_merge").alias("merges"))

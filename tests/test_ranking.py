@@ -5,7 +5,9 @@ import random
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from repochron.operators import highlights, ranking
+from repochron.functions import paths
+from repochron.operators import commits, highlights, ranking, study
+from repochron.operators.path_dictionary import join_facts, path_facts
 
 
 def _skewed(spark):
@@ -55,3 +57,27 @@ def test_scores_that_differ_in_the_ninth_digit_are_told_apart(spark):
     judged = highlights.with_median(df)
     assert {(r.median, r.eligible) for r in judged.collect()} == {(5.000000002, 7)}
     assert [r.seq for r in highlights.milestone_best_commit(judged).collect()] == [5]
+
+
+def test_patterns_run_over_distinct_paths_only(spark):
+    rows = [(1, f"s{i % 40}", "src/a.test.ts" if i % 3 else "package.json", "docs/old.md" if i % 5 == 0 else None, 2, 1) for i in range(300)]
+    changes = spark.createDataFrame(rows, "repo_id long, sha string, path string, previous_path string, additions long, deletions long").repartition(3)
+    facts = path_facts(changes, ["path", "previous_path"], {"test": paths.is_test_source, "doc": paths.is_documentation})
+    assert {r.known_path: (r.test, r.doc) for r in facts.collect()} == {"src/a.test.ts": (True, False), "package.json": (False, False), "docs/old.md": (False, True)}
+    joined = join_facts(join_facts(changes, facts, "path"), facts, "previous_path", "old_")
+    assert joined.count() == 300 and {(r.path, r.test, r.old_doc) for r in joined.collect()} == {(p, p != "package.json", None if q is None else True) for _, _, p, q, _, _ in rows}
+    plan = commits.change_facts(changes)._jdf.queryExecution().executedPlan().toString()
+    assert "RLIKE" not in plan.upper()
+
+
+def test_readers_see_complete_generations_only(spark, tmp_path):
+    folder = str(tmp_path)
+    assert study.latest_generation(spark, folder) is None and study.next_generation(spark, folder) == 0
+    write = lambda n, v: spark.createDataFrame([(1, v)], "repo_id long, v int").write.mode("overwrite").partitionBy("repo_id").parquet(f"{folder}/{n}/t")
+    write(0, 5)
+    study.list_generation(spark, folder, 0)
+    write(study.next_generation(spark, folder), 6)  # not listed
+    assert study.read_table(spark, folder, "t").first().v == 5 and study.next_generation(spark, folder) == 1
+    write(1, 7)
+    study.list_generation(spark, folder, 1)
+    assert study.read_table(spark, folder, "t").first().v == 7
