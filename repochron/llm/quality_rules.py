@@ -1,8 +1,8 @@
-"""Quality rules as a ledger: every rule once, its failure as a bit, its measurement beside it.
+"""Quality rules as a rule book: every rule once, its failure as a bit, its measurement beside it.
 
-The ledger is what an expensive pass over the texts leaves behind.  Policies are versioned
+The rule book is what an expensive pass over the texts leaves behind.  Policies are versioned
 sets of rules; applying one, or asking what each rule alone removes, is bit arithmetic on
-the ledger and never touches a text again.
+the book and never touches a text again.
 """
 
 from __future__ import annotations
@@ -109,11 +109,11 @@ def measure(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "t
     return map_batches(source, over, f"_id {kind}, " + ", ".join(f"{m} long" for m in MEASURES)).withColumnRenamed("_id", id_column)
 
 
-def ledger(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def rule_book(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, measurements, failed): bit i of ``failed`` is set if the i-th rule fails.
 
     Empty and null texts fail ``few_words`` only.  Repeated rows have a row each, an empty table
-    gives an empty ledger; other columns are not looked at.
+    gives an empty book; other columns are not looked at.
     """
     failed = F.lit(0).cast("long")
     for bit, condition in enumerate(RULES.values()):
@@ -122,7 +122,7 @@ def ledger(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "te
 
 
 def apply_policy(book: DataFrame, rules: list[str], name: str = "kept") -> DataFrame:
-    """The ledger with a boolean: no rule of the policy fails."""
+    """The book with a boolean: no rule of the policy fails."""
     return book.withColumn(name, F.col("failed").bitwiseAND(F.lit(mask_of(rules))) == 0)
 
 

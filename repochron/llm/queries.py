@@ -17,7 +17,7 @@ from repochron.llm.lexical_search import rank_documents
 from repochron.llm.mixing import mix_documents
 from repochron.llm.page_text import extract_main_text
 from repochron.llm.quality_model import score_quality
-from repochron.llm.quality_rules import POLICIES, apply_policy, ledger
+from repochron.llm.quality_rules import POLICIES, apply_policy, rule_book
 from repochron.llm.sharding import shard_documents
 from repochron.llm.toxicity import score_toxicity
 from repochron.llm.urls import judge_urls
@@ -50,7 +50,7 @@ def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    book = ledger(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    book = rule_book(read(spark, sf_dir, "documents").select("doc_id", "text"))
     judged = apply_policy(apply_policy(book, POLICIES["base"], "base_ok"), POLICIES["v2"])
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~F.col("base_ok")).alias("base_failed"), "kept", "failed")
 

@@ -134,7 +134,7 @@ def test_decontamination(spark, docs):
 
 
 def test_quality_rules(docs):
-    for r in quality_rules.ledger(docs).collect():
+    for r in quality_rules.rule_book(docs).collect():
         text = dict(pairs(docs))[r.doc_id] or ""
         w = words(text)
         grams = Counter(tuple(w[i:i + 5]) for i in range(len(w) - 4))
@@ -143,12 +143,12 @@ def test_quality_rules(docs):
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (
             len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(hit)), text
         assert bool(r.failed & 3) == (len(w) < 10 or 100 * len(hit) > 20 * len(w))
-    book = quality_rules.ledger(docs)
+    book = quality_rules.rule_book(docs)
     total = book.count()
     kept = quality_rules.apply_policy(book, quality_rules.POLICIES["v2"]).filter("kept").count()
     rows = {r.rule: r for r in quality_rules.ablations(book, quality_rules.POLICIES["v2"]).collect()}
     assert set(rows) == set(quality_rules.RULES) and all(r.n_only <= r.n_failed <= total - kept for r in rows.values())
-    assert quality_rules.ledger(docs.limit(0)).count() == 0
+    assert quality_rules.rule_book(docs.limit(0)).count() == 0
 
 
 def brute_components(rows, k, num, den):
