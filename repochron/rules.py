@@ -253,6 +253,7 @@ MAX_SESSION_DECISIONS, MAX_DECISIONS_PER_EVENT, MAX_DEBUGGING_NOTES = 12, 2, 5
 MAX_SESSION_BYTES = 26214400
 MAX_EVENT_TEXT = 20000
 CONTAINER_KEYS = ["messages", "events", "entries", "items", "conversation", "turns", "log", "history", "transcript", "records", "data", "chat_messages"]
+CONTAINER_DEPTH = 2
 ID_KEYS = ["id", "uuid", "event_id", "eventId", "message_id", "messageId"]
 ROLE_KEYS = ["role", "speaker", "sender", "from"]
 TIME_KEYS = ["timestamp", "time", "created_at", "createdAt", "date", "datetime", "ts"]

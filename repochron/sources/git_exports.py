@@ -1,16 +1,18 @@
 """Readers of history exports: commit logs, tree listings and tag listings.
 
-A history may be exported in several parts (whole commits each, newest part first); parts
-are read in parallel and numbered afterwards, so no history has to fit one task.
+A history may be exported in several parts (whole commits each, newest part first).  ``read_records``
+splits large parts at the record marker wherever a file block ends, so neither a history nor a
+part has to fit one task; ``read_dumps`` takes small parts whole.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from repochron.operators import ranking
@@ -32,6 +34,39 @@ def read_dumps(spark: SparkSession, path: str) -> DataFrame:
     return files.select(place(1).alias("repo_id"), place(2).alias("part"), "content")
 
 
+def _starts(token: str) -> Column:
+    """Whether a text begins with the fields that follow a header marker: an object id and its own beginning."""
+    fields = F.regexp_extract(token, r"\A([0-9a-f]{40,64})\x00([0-9a-f]{4,64})\x00", 0)
+    ends = F.split(fields, r"\x00")
+    return (fields != "") & F.startswith(ends[0], ends[1])
+
+
+def read_records(spark: SparkSession, path: str, marker: str = RECORD_MARKER, *, place: str = r"(\d+)/(\d+)\.log$", glob: str = "*.log") -> DataFrame:
+    """Records of the log files under ``path`` as (repo_id, part, log_pos, content); files are split at any block border.
+
+    ``place`` finds the repository and the part in a file's path.  Files are read as texts that end at
+    a marker.  A text that does not go on like a header follows a marker inside a field, so it is
+    glued to the one before, also over a block border: starts are counted in each block, and the sums
+    of the blocks before are added.  Text ahead of the first marker of a file is a record at 0, empty
+    or not; markers of one file number its records.
+    """
+    split = f"{marker}\0"
+    scan = spark.read.option("lineSep", split).option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(path)
+    texts = scan.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), "value")
+    inside = Window.partitionBy("file", "block").orderBy("row")
+    lead = (F.col("block") == 0) & (F.row_number().over(inside) == 1)
+    marked = texts.withColumn("lead", lead).withColumn("starts", (~F.col("lead") & _starts("value")).cast("long")).withColumn("n", F.sum("starts").over(inside))
+    # one row for each block of a file
+    blocks = marked.groupBy("file", "block").agg(F.sum("starts").alias("b_starts"))
+    blocks = blocks.withColumn("before", F.coalesce(F.sum("b_starts").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    numbered = marked.join(blocks.select("file", "block", "before"), ["file", "block"]).withColumn("log_pos", F.col("n") + F.col("before"))
+    piece = F.struct("block", "row", F.when(F.col("lead"), F.col("value")).otherwise(F.concat(F.lit(split), "value")).cast("binary").alias("value"))
+    whole = numbered.groupBy("file", "log_pos").agg(F.array_sort(F.collect_list(piece)).alias("pieces"))
+    content = F.aggregate("pieces", F.lit(b""), lambda all_, p: F.concat(all_, p["value"]))
+    number = lambda group: F.regexp_extract("file", place, group).cast("long")
+    return whole.select(number(1).alias("repo_id"), number(2).alias("part"), "log_pos", content.alias("content"))
+
+
 def _count(text: str) -> int | None:
     return None if text == "-" else int(text)
 
@@ -42,13 +77,9 @@ _SHA = re.compile("[0-9a-f]{40,64}")
 
 
 def record_starts(tokens: list[str], marker: str) -> list[int]:
-    """Places of the header markers: a marker is one if an object id follows, and it is not itself a header's field."""
-    starts, clear = [], 0
-    for place, token in enumerate(tokens):
-        if place >= clear and token.removeprefix("\n") == marker and place + 1 < len(tokens) and _SHA.fullmatch(tokens[place + 1]):
-            starts.append(place)
-            clear = place + _HEADER
-    return starts
+    """Places of the header markers: a marker is one if an object id and its own beginning follow."""
+    following = zip(tokens, tokens[1:], tokens[2:])
+    return [i for i, (token, sha, short) in enumerate(following) if token.removeprefix("\n") == marker and _SHA.fullmatch(sha) and len(short) >= 4 and sha.startswith(short)]
 
 
 def _changes(tokens: list[str]) -> list[dict]:
@@ -86,7 +117,7 @@ def commit_records(content: bytes, marker: str = RECORD_MARKER) -> Iterator[tupl
     if lead:
         yield None, f"expected a commit header, found {lead[0][:40]!r}"
     for start, end in zip(starts, [*starts[1:], len(tokens)]):
-        header = tokens[start + 1:start + _HEADER]
+        header = tokens[start + 1:min(start + _HEADER, end)]
         try:
             if len(header) < _HEADER - 1:
                 raise ValueError(f"broken commit header {header[0]!r}")
@@ -96,31 +127,44 @@ def commit_records(content: bytes, marker: str = RECORD_MARKER) -> Iterator[tupl
             yield None, f"{tokens[start + 1][:12]}: {problem}"
 
 
+#: records of one output batch of the reader
+_BATCH = 1000
+
+
 def _scan(marker: str):
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows_of(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         for batch in batches:
-            for repo_id, part, content in zip(batch["repo_id"], batch["part"], batch["content"]):
-                rows = [(repo_id, part, pos, *(record or [None] * 8), reason) for pos, (record, reason) in enumerate(commit_records(bytes(content), marker))]
-                yield pd.DataFrame(rows, columns=[*_COLUMNS, "reason"])
+            for repo_id, part, first, content in zip(batch["repo_id"], batch["part"], batch["log_pos"], batch["content"]):
+                for pos, (record, reason) in enumerate(commit_records(bytes(content), marker)):
+                    yield repo_id, part, first + pos, *(record or [None] * 8), reason
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in itertools.batched(rows_of(batches), _BATCH):
+            yield pd.DataFrame(rows, columns=[*_COLUMNS, "reason"])
 
     return scan
 
 
+def _scanned(dumps: DataFrame, marker: str) -> DataFrame:
+    first = F.col("log_pos") if "log_pos" in dumps.columns else F.lit(0).cast("long").alias("log_pos")
+    return dumps.select("repo_id", "part", first, "content").mapInPandas(_scan(marker), f"{_SCHEMA}, reason string")
+
+
 def scan_commit_log(dumps: DataFrame, marker: str = RECORD_MARKER) -> DataFrame:
-    """Commits with nested changes and ``seq`` (oldest 0) from dumps listing newest first.
+    """Commits with nested changes and ``seq`` (oldest 0) from whole parts or single records, newest first.
 
     Records that cannot be read are left out; ``rejected_records`` has them.
     """
-    scanned = dumps.select("repo_id", "part", "content").mapInPandas(_scan(marker), f"{_SCHEMA}, reason string").filter("reason is null").drop("reason")
+    scanned = _scanned(dumps, marker).filter("reason is null").drop("reason")
     order = [F.col("part").desc(), F.col("log_pos").desc()]
-    numbered = ranking.number_rows(scanned, ["repo_id"], -F.col("part"), order, "n")
+    stretch = F.struct(-F.col("part"), -ranking.block_of("log_pos"))
+    numbered = ranking.number_rows(scanned, ["repo_id"], stretch, order, "n")
     return numbered.withColumns({"seq": F.col("n") - 1, "n_parents": F.size("parents")}).drop("n", "part", "log_pos")
 
 
 def rejected_records(dumps: DataFrame, marker: str = RECORD_MARKER) -> DataFrame:
     """(repo_id, part, log_pos, reason) of the records of dumps that cannot be read."""
-    scanned = dumps.select("repo_id", "part", "content").mapInPandas(_scan(marker), f"{_SCHEMA}, reason string")
-    return scanned.filter("reason is not null").select("repo_id", "part", "log_pos", "reason")
+    return _scanned(dumps, marker).filter("reason is not null").select("repo_id", "part", "log_pos", "reason")
 
 
 def changes_of(scanned: DataFrame) -> DataFrame:

@@ -49,18 +49,36 @@ def first_value(v: Column, keys) -> Column:
     return F.try_element_at(F.filter(_values(v, keys), usable), F.lit(1))
 
 
-def text_of(v: Column, depth: int = 2) -> Column:
-    """Text of a string, number, boolean, typed object, or a list of those."""
-    kind = F.schema_of_variant(v)
-    scalar = F.when(kind == "STRING", F.when(T.trim(_text(v)) != "", _text(v))).when(
-        kind.rlike("^(BIGINT|DOUBLE|BOOLEAN|DECIMAL|FLOAT)"), _text(v))
-    if depth == 0:
-        return scalar
-    inner = lambda x: text_of(F.coalesce(_present(at(x, "text")), _present(at(x, "content"))), depth - 1)
-    item = lambda x: F.when(_is_record(x), inner(x)).otherwise(text_of(x, depth - 1))
-    parts = F.array_compact(F.transform(_as_array(v), item))
-    return F.when(kind.startswith("ARRAY"), F.when(F.size(parts) > 0, F.array_join(parts, "\n"))).when(
-        kind.startswith("OBJECT"), inner(v)).otherwise(scalar)
+def _nesting(v: Column) -> Column:
+    """How many lists and objects lie inside each other: the highest running count of open brackets outside strings."""
+    brackets = F.regexp_replace(F.regexp_replace(F.to_json(v), r'(?s)"[^"\\]*+(?:\\.[^"\\]*+)*+"', ""), r"[^\[\]{}]", "")
+    start = F.struct(F.lit(0).alias("open"), F.lit(0).alias("most"))
+
+    def count(state: Column, bracket: Column) -> Column:
+        now = state["open"] + F.when(bracket.isin("[", "{"), 1).otherwise(-1)
+        return F.struct(now.alias("open"), F.greatest(state["most"], now).alias("most"))
+
+    return F.aggregate(F.split(brackets, ""), start, count, lambda state: state["most"])
+
+
+def text_of(v: Column) -> Column:
+    """Text of a string, number, boolean, typed object, or a list of those, at any depth.
+
+    Lists open into their items and objects into their text (else content), one level a step and in
+    order, for as many steps as the value has levels; the texts that are left are joined by lines.
+    """
+    def opened(x: Column) -> Column:
+        inner = F.coalesce(_present(at(x, "text")), _present(at(x, "content")))
+        return F.when(_is_record(x), F.array(inner)).otherwise(F.coalesce(_as_array(x), F.array(x)))
+
+    def scalar(x: Column) -> Column:
+        kind = F.schema_of_variant(x)
+        return F.when(kind == "STRING", F.when(T.trim(_text(x)) != "", _text(x))).when(kind.rlike("^(BIGINT|DOUBLE|BOOLEAN|DECIMAL|FLOAT)"), _text(x))
+
+    nested = _is_record(v) | _as_array(v).isNotNull()
+    leaves = F.aggregate(F.sequence(F.lit(1), _nesting(v)), F.array(v), lambda nodes, _: F.flatten(F.transform(nodes, opened)))
+    texts = F.array_compact(F.transform(leaves, scalar))
+    return F.when(nested, F.when(F.size(texts) > 0, F.array_join(texts, "\n"))).otherwise(scalar(v))
 
 
 def _present(v: Column) -> Column:
@@ -98,17 +116,19 @@ def jsonl_warnings(scanned: DataFrame) -> DataFrame:
 
 
 def scan_session_json(sessions: DataFrame) -> DataFrame:
-    """Entries of a JSON transcript: the top array, the nearest container list, or the object itself."""
-    def child(v: Column, arrays_only: bool = False) -> Column:
-        accepted = lambda k: (_as_array(at(v, k)).isNotNull() if arrays_only else _as_array(at(v, k)).isNotNull() | _is_record(at(v, k)))
-        return F.coalesce(*[F.when(accepted(k), at(v, k)) for k in rules.CONTAINER_KEYS])
-
-    rows = sessions.select("session_id", F.try_parse_json("text").alias("v0")).filter("v0 is not null")
-    rows = rows.withColumn("v1", F.when(_as_array(F.col("v0")).isNull(), child(F.col("v0"))))
-    rows = rows.withColumn("v2", F.when(_as_array(F.col("v1")).isNull(), child(F.col("v1"))))
-    rows = rows.withColumn("v3", F.when(_as_array(F.col("v2")).isNull(), child(F.col("v2"), arrays_only=True)))
-    node = F.coalesce("v3", "v2", "v1", "v0")
-    entries = F.coalesce(_as_array(node), F.array(node))
+    """Entries of a JSON transcript: the top array, the first container list that holds any, or the object itself.
+
+    A list right below an object is taken even if empty; of objects among its keys the first whose own
+    search finds an entry counts.  Objects are searched to the depth the rules set.
+    """
+    def found(v: Column, depth: int) -> Column:
+        held = F.filter(_values(v, rules.CONTAINER_KEYS), lambda c: _as_array(c).isNotNull() | _is_record(c))
+        below = (lambda c: found(c, depth + 1)) if depth < rules.CONTAINER_DEPTH else (lambda c: F.array().cast("array<variant>"))
+        searched = F.transform(held, lambda c: F.struct(_as_array(c).isNotNull().alias("is_list"), F.coalesce(_as_array(c), below(c)).alias("entries")))
+        return F.coalesce(F.try_element_at(F.filter(searched, lambda s: s["is_list"] | (F.size(s["entries"]) > 0)), F.lit(1))["entries"], F.array(v))
+
+    rows = sessions.select("session_id", F.try_parse_json("text").alias("v")).filter("v is not null")
+    entries = F.coalesce(_as_array(F.col("v")), F.when(_is_record(F.col("v")), found(F.col("v"), 0)))
     return rows.select("session_id", F.posexplode(entries).alias("i", "entry")).select(
         "session_id", (F.col("i") + 1).cast("long").alias("pos"), F.concat(F.lit("entry "), F.col("i") + 1).alias("position"), "entry")
 
@@ -132,8 +152,8 @@ def _parts(content: Column) -> Column:
         tool = F.coalesce(first_string(p, ["name"]), F.lit("tool"))
         command = first_string(call, ["command", "cmd"])
         suffix = F.concat(F.lit("part"), i)
-        result = text_of(F.coalesce(_present(at(p, "content")), _present(at(p, "output"))), 1)
-        words = text_of(F.coalesce(_present(at(p, "text")), _present(at(p, "content"))), 1)
+        result = text_of(F.coalesce(_present(at(p, "content")), _present(at(p, "output"))))
+        words = text_of(F.coalesce(_present(at(p, "text")), _present(at(p, "content"))))
         none = F.lit(None).cast(_EVENT)
         kind = F.coalesce(kind, F.lit(""))
         return (

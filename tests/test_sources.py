@@ -212,3 +212,77 @@ def test_a_replayed_batch_and_late_lines_leave_the_same_summary(spark, tmp_path)
     assert read() == after and spark.read.parquet(f"{tmp_path}/rejects").count() == 2
     stream.compact(spark, f"{tmp_path}/summary", f"{tmp_path}/whole")
     assert {r.session_id: r.events for r in stream.read_summary(spark, f"{tmp_path}/whole").collect()} == {1: 3, 2: 1}
+
+
+def test_log_files_are_read_by_records_over_block_borders(spark, tmp_path):
+    quoted = SHA[:39] + "b"
+    logs = {}
+    for repo, part in ((1, 0), (1, 1), (2, 7)):
+        records = [_log(subject=f"{repo} {part} {i}", body="x" * (i % 50) + f" {MARK}{quoted}"[:(i % 3) * 30], tail=f"\n{i}\t1\ta{i}.ts\0") for i in range(150)]
+        # bodies cannot hold a NUL, but a field may end with the marker
+        records[3] = _log(subject=f"ends with {MARK}", body=MARK)
+        records[5] = "\0".join([MARK, SHA, "aaaaaaa", "", "Ann"]) + "\0"
+        records[7] = _log(subject="broken", tail="\nnonsense\0")
+        records[9] = records[9].replace("x", "\u00e9")
+        logs[repo, part] = ("lead\0" if part == 7 else "") + "".join(r if r.endswith("\0") else r + "\0" for r in records)
+    logs[3, 0] = ""
+    logs[4, 0] = "no record at all"
+    for (repo, part), text in logs.items():
+        (tmp_path / str(repo)).mkdir(exist_ok=True)
+        (tmp_path / str(repo) / f"{part}.log").write_bytes(text.encode() + (b"\xff\0" if part == 1 else b""))
+    names = ["spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.files.minPartitionNum"]
+    before = {n: spark.conf.get(n, None) for n in names}
+    try:
+        for name, value in zip(names, ("1500", "0", "1000")):
+            spark.conf.set(name, value)
+        records = git_exports.read_records(spark, str(tmp_path))
+        pick = lambda df: sorted((r.repo_id, r.seq, r.subject, r.body, [(c.path, c.additions) for c in r.changes]) for r in df.collect())
+        rejects = lambda df: sorted((r.repo_id, r.part, r.reason) for r in df.collect())
+        by_record = pick(git_exports.scan_commit_log(records)), rejects(git_exports.rejected_records(records))
+        sizes = records.selectExpr("max(length(content)) as most", "count(*) as n").first()
+        assert spark.read.option("lineSep", MARK + "\0").text(f"{tmp_path}/1/0.log").rdd.getNumPartitions() > 5
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+    dumps = git_exports.read_dumps(spark, str(tmp_path))
+    whole = pick(git_exports.scan_commit_log(dumps)), rejects(git_exports.rejected_records(dumps))
+    assert by_record == whole
+    # the last records of part 1 take the stray bytes for a change
+    assert len(by_record[0]) == 3 * 148 - 1 and sizes.most < 1000 and sizes.n > 440
+    assert {r[0] for r in by_record[1]} == {1, 2, 4}
+
+
+def test_texts_and_containers_of_any_depth(spark):
+    deep = "core"
+    for i in range(41):
+        deep = [{"text": None, "content": deep}, i] if i % 2 else {"text": [deep, ""], "content": "not taken"}
+    entries = [
+        {"id": "a", "content": deep},
+        {"id": "b", "content": [{"type": "text", "text": [["x", [{"content": {"text": ["y", 1.5]}}]], True, None, " "]}, {"type": "tool_result", "output": {"text": {"content": [['z \\ " [']]}}}]},
+        {"id": "c", "output": {"text": {"text": {"text": {"text": "four [ deep"}}}}},
+        {"id": "d", "content": {"other": "nothing"}}, {"id": "e", "content": []}]
+
+    def text(v):
+        if isinstance(v, bool):
+            return str(v).lower()
+        if isinstance(v, (int, float)):
+            return str(v)
+        if isinstance(v, str):
+            return v if v.strip() else None
+        if isinstance(v, list):
+            parts = [p for p in map(text, v) if p is not None]
+            return "\n".join(parts) if parts else None
+        return text(v.get("text") if v.get("text") is not None else v.get("content")) if isinstance(v, dict) else None
+
+    def read(*data):
+        rows = spark.createDataFrame([(i, json.dumps(d)) for i, d in enumerate(data)], "session_id long, text string")
+        return rows, transcripts.scan_session_json(rows)
+
+    rows, scanned = read({"items": entries})
+    got = {e.id: e.text for e in transcripts.session_entries(scanned).collect()}
+    assert got == {"a": text(deep), "b": "x\ny\n1.5\ntrue", "b:part1": 'z \\ " [', "c": "four [ deep"}
+    # an empty list below an inner object does not count, one below the object itself does; the third object is not searched
+    _, scanned = read({"messages": {"events": []}, "items": [1, 2]}, {"messages": [], "items": [1]}, {"data": {"log": {"turns": [7, 8, 9]}}},
+                      {"data": {"log": {"turns": {"items": [1]}}}}, {"x": 1}, [], {"data": {"log": {}}, "items": [3]}, 5)
+    counts = {r.session_id: r.n for r in scanned.groupBy("session_id").agg(F.count("*").alias("n")).collect()}
+    assert counts == {0: 2, 2: 3, 3: 1, 4: 1, 6: 1}
