@@ -17,7 +17,7 @@ from repochron.llm.lexical_search import rank_documents
 from repochron.llm.mixing import mix_documents
 from repochron.llm.page_text import extract_main_text
 from repochron.llm.quality_model import score_quality
-from repochron.llm.quality_rules import POLICIES, apply_policy, rule_book
+from repochron.llm.quality_rules import POLICIES, RULES, apply_policy, rule_book
 from repochron.llm.sharding import shard_documents
 from repochron.llm.toxicity import score_toxicity
 from repochron.llm.urls import judge_urls
@@ -103,7 +103,47 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op11_toxicity": toxicity, "op12_lexical_search": lexical_search, "op13_hard_negatives": hard_negatives,
 }
 
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _grams(k: int) -> str:
+    """SQL for the runs of ``k`` words that begin at each place of ``words``."""
+    later = "".join(f" || ' ' || lead(word, {j}) OVER w" for j in range(1, k))
+    return f"SELECT row, i, {k} AS k, word{later} AS gram FROM words WINDOW w AS (PARTITION BY row ORDER BY i)"
+
+
 ORACLES: dict[str, str] = {
+    "op3_decontamination": rf"""
+WITH docs AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+words AS (SELECT row, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM docs),
+items AS (SELECT item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+item_windows AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS k, array_to_string(w[b:b + least(len(w), 10) - 1], ' ') AS gram
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS b FROM items WHERE len(w) > 0)),
+grams AS ({" UNION ALL ".join(_grams(k) for k in range(1, 11))}),
+spans AS (SELECT row, i, k, item_id FROM grams JOIN item_windows USING (k, gram)),
+hits AS (SELECT row, count(DISTINCT p) AS n FROM (SELECT row, unnest(range(i, i + k)) AS p FROM spans) GROUP BY row),
+found AS (SELECT row, count(*) AS n, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT row, CAST(item_id AS VARCHAR) AS item FROM spans) GROUP BY row)
+SELECT doc_id, CAST(COALESCE(len(w), 0) AS BIGINT) AS n_words, COALESCE(hits.n, 0) AS n_hit, COALESCE(found.n, 0) AS n_items, sha256(COALESCE(ids, '')) AS items_sha256, COALESCE(hits.n, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hits USING (row) LEFT JOIN found USING (row)""",
+    "op5_quality_rules": r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS row, doc_id, COALESCE(text, '') AS t, regexp_extract_all(COALESCE(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    list_filter(string_split(COALESCE(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines FROM documents),
+words AS (SELECT row, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM docs),
+grams AS ("""+_grams(5)+r"""),
+twice AS (SELECT row, i FROM grams WHERE gram IS NOT NULL QUALIFY count(*) OVER (PARTITION BY row, gram) > 1),
+covered AS (SELECT row, count(DISTINCT p) AS n FROM (SELECT row, unnest(range(i, i + 5)) AS p FROM twice) GROUP BY row),
+pairs AS (SELECT row, word, lead(word) OVER (PARTITION BY row ORDER BY i) AS next FROM words),
+per_text AS (SELECT row, sum(length(word)) AS chars, count(*) FILTER (word = next) AS same_next FROM pairs GROUP BY row),
+book AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(COALESCE(chars, 0) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+    CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, COALESCE(covered.n, 0) AS n_repeat_words, len(lines) AS n_lines,
+    len(regexp_extract_all(t, '[A-Z]')) AS n_capitals, len(regexp_extract_all(t, '[A-Za-z\x{80}-\x{10FFFF}]')) AS n_letters, len(regexp_extract_all(t, '!')) AS n_marks, COALESCE(same_next, 0) AS n_same_next
+  FROM docs LEFT JOIN covered USING (row) LEFT JOIN per_text USING (row)),
+bits AS (
+  SELECT *, CAST("""+" + ".join(f"CASE WHEN {c} THEN {1 << b} ELSE 0 END" for b, c in enumerate(RULES.values()))+r""" AS BIGINT) AS failed FROM book)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & 3 <> 0 AS base_failed, failed = 0 AS kept, failed FROM bits""",
     "op2_url_filter": r"""
 WITH parts AS (
   SELECT page_id, lower(COALESCE(regexp_extract(url, '://([^/?#]*)', 1), '')) AS host, COALESCE(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),

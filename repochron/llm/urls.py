@@ -10,13 +10,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from repochron.llm.common import bit_at, lower_ascii
+from repochron.llm.common import bit_at, lower_ascii, stage
 
 #: a block is one 64-bit word; a key sets up to this many of its bits
 PROBES = 4
 KEYS_A_BLOCK = 4
 #: the filter that is sent to the executors has at most so many blocks of 16 bytes
 MAX_BLOCKS = 1 << 18
+#: a rule that holds more than this part of the passed keys is dealt to so many places (there are at most ``1 / HOT_SHARE`` such rules)
+HOT_SHARE, PLACES = 1 / 1000, 64
 
 
 def host_of(url: Column) -> Column:
@@ -80,14 +82,26 @@ def judge_urls(pages: DataFrame, rules: DataFrame, *, id_column: str = "page_id"
     listed = canonical_rules(rules)
     n, lengths = listed.agg(F.count("*"), F.sort_array(F.collect_set(F.length("path")))).first()
     blocks = min(MAX_BLOCKS, max(1, n // KEYS_A_BLOCK))
-    pages = pages.drop("host", "path", "rule", "verdict").withColumn("host", host_of(F.col(url_column))).withColumn("path", path_of(F.col(url_column)))
+    pages = pages.drop("host", "path", "rule", "verdict")
+    # the rows of pages go through the join as one column, so that no name can clash
+    pages = pages.select(F.struct(*pages.columns).alias("_row"), host_of(F.col(url_column)).alias("host"), path_of(F.col(url_column)).alias("path"))
     urls = pages.select("host", "path").distinct()
     keys = urls.filter("host <> ''").select("host", "path", F.explode(url_keys(F.col("host"), F.col("path"), F.array(*[F.lit(x) for x in lengths or []]).cast("array<int>"))).alias("_k"))
     keys = keys.withColumn("_rule", _key(F.col("_k.host"), F.col("_k.path"))).withColumn("_block", _block(F.col("_rule"), blocks))
     passed = keys.join(F.broadcast(filter_blocks(listed, blocks)), "_block").filter(F.col("_bits").bitwiseAND(_mask(F.col("_rule"))) == _mask(F.col("_rule")))
-    exact = listed.select(F.col("host").alias("_h"), F.col("path").alias("_p"), "rule", "action").hint("shuffle_hash")
-    hits = passed.join(exact, (F.col("_k.host") == F.col("_h")) & (F.col("_k.path") == F.col("_p")))
-    best = hits.groupBy("host", "path").agg(F.max(F.struct(F.length("rule").alias("n"), F.length("_h").alias("m"), F.col("rule"), F.col("action"))).alias("_best"))
+    best = _exact_hits(stage(passed.select("host", "path", "_k", "_rule")), listed).groupBy("host", "path").agg(
+        F.max(F.struct(F.length("rule").alias("n"), F.length("_h").alias("m"), F.col("rule"), F.col("action"))).alias("_best"))
     judged = pages.join(best, ["host", "path"], "left")
-    columns = [c for c in pages.columns if c not in ("host", "path")]
-    return judged.select(*columns, "host", "path", F.col("_best.rule").alias("rule"), F.coalesce(F.col("_best.action"), F.lit(default)).alias("verdict"))
+    return judged.select("_row.*", "host", "path", F.col("_best.rule").alias("rule"), F.coalesce(F.col("_best.action"), F.lit(default)).alias("verdict"))
+
+
+def _exact_hits(passed: DataFrame, listed: DataFrame) -> DataFrame:
+    """The passed keys that are listed, by a hash join; rules that very many URLs have are dealt to ``PLACES`` tasks."""
+    counts = stage(passed.groupBy("_rule").agg(F.count("*").alias("n")))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(counts.filter(F.col("n") > HOT_SHARE * total).select(F.col("_rule").alias("_hot")))
+    places = F.when(F.col("_hot").isNull(), 1).otherwise(PLACES)
+    dealt = passed.join(hot, F.col("_rule") == F.col("_hot"), "left").withColumn("_place", F.pmod(F.xxhash64("host", "path"), places).cast("int"))
+    exact = listed.join(hot, F.col("rule") == F.col("_hot"), "left").select(
+        F.col("host").alias("_h"), F.col("path").alias("_p"), "rule", "action", F.explode(F.sequence(F.lit(0), places - 1)).alias("_at")).hint("shuffle_hash")
+    return dealt.join(exact, (F.col("_k.host") == F.col("_h")) & (F.col("_k.path") == F.col("_p")) & (F.col("_place") == F.col("_at")))

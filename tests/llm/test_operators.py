@@ -95,6 +95,20 @@ def test_wrapper_has_slots_options_and_groups():
     assert "(p#PCDATA)+" in text and "<div.c?" in text and "'same'" in text
 
 
+def test_a_rule_of_most_urls_and_clashing_columns(spark):
+    rules = spark.createDataFrame([("com", "/", "allow"), ("b.com", "/x", "block"), ("net", "/only", "block")], "host string, path string, action string")
+    urls_ = [f"http://h{i % 40}.com/{i}" for i in range(600)] + ["http://a.b.com/xy", "http://b.com/x", "http://net/only/1", "http://net/other", None]
+    rows = [(i, u, "row", "best", 7, "k") for i, u in enumerate(urls_ + urls_[-5:])]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, _row string, _best string, _h int, _rule string")
+    got = urls.judge_urls(pages, rules)
+    assert got.columns == [*pages.columns, "host", "path", "rule", "verdict"]
+    out = {r.page_id: r for r in got.collect()}
+    assert len(out) == len(rows) and all(r._row == "row" and r._best == "best" and r._h == 7 and r._rule == "k" for r in out.values())
+    assert all((out[i].rule, out[i].verdict) == ("com/", "allow") for i in range(600))
+    expected = [("b.com/x", "block")] * 2 + [("net/only", "block"), (None, "allow"), (None, "allow")]
+    assert [(out[i].rule, out[i].verdict) for i in range(600, 610)] == expected * 2
+
+
 def test_url_rules(spark):
     rules = spark.createDataFrame([("com", "/", "allow"), ("Example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("a.net", "/x", "block"), (None, "/", "block")], "host string, path string, action string")
     cases = {
