@@ -176,7 +176,7 @@ def string_table(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
             levels[k].descend(levels[k + 1].done[above], levels[k + 1].rest[above])
         value = np.full(len(keys), 8 * np.log(0.5)) if not len(root.nodes) else ln_strings(keys, levels, depth) if len(levels) > 2 else ln_strings(keys, levels, 1)
         n = np.concatenate([b.column(2).to_numpy() for b in held])
-        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n), pa.array((value / np.log(10)).astype(np.float32).astype(float))], ["key", "n", "value"])
+        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n), pa.array(value / np.log(10))], ["key", "n", "value"])
 
     return dealt.select("key", "learned", "n").mapInArrow(downward, "key bigint, n bigint, value double")
 

@@ -332,7 +332,7 @@ def test_context_tree_against_recursion(spark):
     score = brute_ctw([s for i, t in texts if not held(i) for s in samples(t)], depth)
     rows = context_tree.score_documents(spark.createDataFrame(texts, "doc_id bigint, text string"), depth=depth).collect()
     for r in rows:
-        assert math.isclose(r.score, sum(score(c, b) for c, b in samples(dict(texts)[r.doc_id])), rel_tol=1e-4), r
+        assert math.isclose(r.score, sum(score(c, b) for c, b in samples(dict(texts)[r.doc_id])), rel_tol=1e-9), r
 
 
 def test_quality_model(docs, labels):
