@@ -86,3 +86,37 @@ def test_a_round_shortens_long_histories(spark):
     assert held.count() == 1
     assert shortened.count() < 900
     assert shortened.agg(F.sum("n")).first()[0] == 900
+
+
+def _equal_units(repo, count):
+    return [(repo, i, 1, i * HOUR, i * HOUR, {"core": 1.0}, {"feat": 1.0}, 0.0, 1.0 / count, 10) for i in range(count)]
+
+
+def test_one_stretch_of_equal_units_is_cut_and_revalidated(spark):
+    """Pairs of equal cost merge from the left, so each cell's pairs depend on the parity left of it."""
+    rows = _equal_units(1, 1500) + _equal_units(2, 333)
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3).cache()
+    direct = _ranges(clustering.cluster(df, cell_units=10_000))
+    assert _ranges(clustering.cluster(df, cell_units=301)) == direct
+
+
+def test_cells_stay_bounded_and_are_moved(spark, monkeypatch):
+    rows = _equal_units(1, 1000)
+    df = spark.createDataFrame(rows, SCHEMA)
+    groups, limits = clustering._frame(df), clustering.repository_limits(df)
+    moves, plain = [], clustering._moved
+    monkeypatch.setattr(clustering, "_moved", lambda *a: (moves.append(a), plain(*a))[1])
+    shortened, held = clustering._verified_round(groups, limits, 0.9, 101)
+    expected = clustering.merge_groups([dict(r, topics={"core": 1.0}, kinds={"feat": 1.0}) for r in (x.asDict() for x in groups.orderBy("pos").collect())],
+                                       12, 0.0, limit=_limit_of(groups, limits, 0.9))
+    assert held.count() == 1 and len(moves) > 2
+    assert sorted(r.first_unit for r in shortened.collect()) == [g["first_unit"] for g in expected]
+
+
+def _limit_of(groups, limits, fraction):
+    row = clustering._limits_at(clustering.pair_costs(groups.join(limits, "repo_id")), fraction).first()
+    return row.cost_limit, row.pos_limit
+
+
+def test_no_units_give_no_milestones(spark):
+    assert _ranges(clustering.cluster(spark.createDataFrame([], SCHEMA))) == []
