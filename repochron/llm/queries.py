@@ -76,7 +76,8 @@ def language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rotate_dialogues(read(spark, sf_dir, "conversations"))
+    spans = F.array_join(F.transform("mask", lambda m: F.concat(m["start"], F.lit("-"), m["end"])), " ")
+    return rotate_dialogues(read(spark, sf_dir, "conversations")).withColumn("spans", spans).drop("mask")
 
 
 def toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,6 +114,23 @@ def _grams(k: int) -> str:
 
 
 ORACLES: dict[str, str] = {
+    "op10_chat": r"""
+        WITH said AS (
+          SELECT conv_id, CAST(coalesce(turn, 0) AS BIGINT) AS turn, coalesce(role, 'unknown') AS speaker, replace(coalesce(text, ''), '<|', '<' || chr(8203) || '|') AS body FROM conversations),
+        numbered AS (
+          SELECT *, CAST(floor(turn / 1024.0) AS BIGINT) AS part, row_number() OVER (PARTITION BY conv_id, floor(turn / 1024.0) ORDER BY turn, speaker, body) AS n FROM said),
+        speakers AS (SELECT DISTINCT conv_id, speaker AS assistant FROM said WHERE speaker <> 'system'),
+        seen AS (
+          SELECT r.conv_id, part, (n - 1) // 1024 AS piece, n, assistant, speaker = assistant AS own, body || '<|im_end|>' AS tail,
+            CASE WHEN speaker = assistant THEN '<|im_start|>assistant' WHEN speaker = 'system' THEN '<|im_start|>system'
+              ELSE '<|im_start|>user name=' || regexp_replace(speaker, '[ \t\n\x0B\f\r<>|]', '_', 'g') END || chr(10) AS head
+          FROM numbered r JOIN speakers s ON s.conv_id IS NOT DISTINCT FROM r.conv_id),
+        placed AS (
+          SELECT *, CAST(sum(length(head) + length(tail) + 1) OVER (PARTITION BY conv_id, assistant ORDER BY part, n) AS BIGINT) - length(tail) - 1 AS start FROM seen)
+        SELECT conv_id, part, piece, assistant, min(start - length(head)) AS "begin", string_agg(head || tail || chr(10), '' ORDER BY n) AS text,
+          coalesce(string_agg(start || '-' || (start + length(tail)), ' ' ORDER BY n) FILTER (own), '') AS spans, CAST(count(*) AS INT) AS n_turns,
+          CAST(coalesce(sum(length(tail)) FILTER (own), 0) AS BIGINT) AS n_masked
+        FROM placed GROUP BY conv_id, part, piece, assistant""",
     "op3_decontamination": rf"""
 WITH docs AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 words AS (SELECT row, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM docs),

@@ -358,6 +358,33 @@ def test_chat(spark):
     assert chat.rotate_dialogues(table.limit(0)).count() == 0
 
 
+def _rendered_whole(turns, assistant):
+    """The dialogue of one participant and the spans of its turns, turn by turn."""
+    text, spans = "", []
+    for _, speaker, body in sorted((t or 0, s or "unknown", (b or "").replace("<|", "<\u200b|")) for t, s, b in turns):
+        text += "<|im_start|>" + ("assistant" if speaker == assistant else "system" if speaker == "system" else f"user name={speaker.replace(' ', '_')}") + "\n"
+        body += "<|im_end|>"
+        spans += [(len(text), len(text) + len(body))] if speaker == assistant else []
+        text += body + "\n"
+    return text, spans
+
+
+def test_parts_of_a_long_dialogue_go_on_where_the_last_one_ends(spark):
+    said = [(i if i % 7 else None, ("system", "ann", "bob lee", None)[i % 4], None if i % 9 == 0 else f"é{'x' * (i % 5)} <| {i}") for i in range(60)]
+    said += [(3, "ann", "again"), (3, "ann", "again"), (200, "late", "only once")]
+    table = spark.createDataFrame([(5, *t) for t in said], "conv_id bigint, turn bigint, role string, text string").withColumn("begin", F.lit(1)).withColumn("part", F.lit("p"))
+    rows = sorted(chat.rotate_dialogues(table, block_turns=4).collect(), key=lambda r: (r.part, r.piece))
+    assert max(r.n_turns for r in rows) == 4 and max(r.piece for r in rows) > 0
+    assert {r.assistant for r in rows} == {"ann", "bob lee", "unknown", "late"}
+    for name in ("ann", "bob lee", "unknown", "late"):
+        own = [r for r in rows if r.assistant == name]
+        text, spans = _rendered_whole(said, name)
+        assert "".join(r.text for r in own) == text
+        assert [r.begin for r in own] == [sum(len(r.text) for r in own[:i]) for i in range(len(own))]
+        assert [(m.start, m.end) for r in own for m in r.mask] == spans
+        assert sum(r.n_masked for r in own) == sum(b - a for a, b in spans)
+
+
 def test_pipeline(spark, docs, labels, tmp_path):
     docs.withColumnRenamed("shard", "lang").withColumnRenamed("score", "n_chars").write.parquet(str(tmp_path / "documents.parquet"))
     labels.write.parquet(str(tmp_path / "labels.parquet"))
