@@ -230,7 +230,8 @@ _LIMITS = [
 ]
 
 
-@query("limitations", "SELECT repo_id, text FROM (" + " UNION ALL ".join(f"SELECT repo_id, {text} AS text FROM limit_facts WHERE {when}" for text, when in _LIMITS) + ")", {
+_LIMIT_ROWS = "SELECT repo_id, text FROM (" + " UNION ALL ".join(f"SELECT repo_id, {text} AS text FROM limit_facts WHERE {when}" for text, when in _LIMITS) + ")"
+_LIMIT_FACTS = {
     **FQ.EXTRA, "limit_facts": f"""
     SELECT r.repo_id, r.branch, (SELECT count(*) FROM summaries s WHERE s.repo_id = r.repo_id) AS commits, (SELECT count(*) FROM summaries s WHERE s.repo_id = r.repo_id AND automated) AS bots,
       (SELECT list('`' || a || '`' ORDER BY a) FROM (SELECT DISTINCT repo_id, author_name AS a FROM summaries WHERE automated) s WHERE s.repo_id = r.repo_id) AS names,
@@ -239,7 +240,10 @@ _LIMITS = [
       (SELECT count(DISTINCT conv_id) FROM conversations c WHERE c.conv_id % 25 = r.repo_id) AS sessions,
       (SELECT count(*) FROM selection x WHERE x.repo_id = r.repo_id AND outcome IN ('symlink', 'too-large')) AS skipped,
       (SELECT list(DISTINCT replace(outcome, '-', ' ') ORDER BY replace(outcome, '-', ' ')) FROM selection x WHERE x.repo_id = r.repo_id AND outcome IN ('symlink', 'too-large')) AS reasons
-    FROM repos r"""})
+    FROM repos r"""}
+
+
+@query("limitations", _LIMIT_ROWS, _LIMIT_FACTS)
 def limitations(c):
     return I.study(c).limitations.select("repo_id", "text")
 
@@ -270,9 +274,17 @@ def case_study_json(c):
     return commits.select("repo_id", "pos", *[field(n).alias(n) for n in ("sha", "kind", "source", "subject")], field("additions").cast("long").alias("additions"))
 
 
-@query("write_tables", "SELECT repo_id, count(*) AS commits, count(*) FILTER (is_merge) AS merges FROM summaries GROUP BY ALL")
+@query("write_tables", """
+    SELECT r.repo_id, s.commits, s.merges, (SELECT count(*) FROM people p WHERE p.repo_id = r.repo_id) AS members, (SELECT count(*) FROM all_decisions d WHERE d.repo_id = r.repo_id) AS decisions,
+      (SELECT count(*) FROM limit_rows l WHERE l.repo_id = r.repo_id) AS limitations, (SELECT count(DISTINCT conv_id) FROM conversations c WHERE c.conv_id % 25 = r.repo_id) AS sessions
+    FROM repos r JOIN (SELECT repo_id, count(*) AS commits, count(*) FILTER (is_merge) AS merges FROM summaries GROUP BY ALL) s USING (repo_id)""", {**_ALL, **_LIMIT_FACTS, "limit_rows": _LIMIT_ROWS})
 def write_tables(c):
-    """All result tables written partitioned by repository; the commit table is read back."""
+    """All result tables written partitioned by repository and read back: rows of each repository in five of them."""
     folder = f"{shared_folder(c.spark)}/tables-{uuid.uuid4().hex}"
     I.study(c).write_tables(folder)
-    return ST.read_table(c.spark, folder, "summaries").groupBy(F.col("repo_id").cast("long").alias("repo_id")).agg(F.count(F.lit(1)).alias("commits"), F.count_if("is_merge").alias("merges"))
+    repo = F.col("repo_id").cast("long").alias("repo_id")
+    counted = ST.read_table(c.spark, folder, "summaries").groupBy(repo).agg(F.count(F.lit(1)).alias("commits"), F.count_if("is_merge").alias("merges"))
+    for table, name in (("members", "members"), ("decisions", "decisions"), ("limitations", "limitations"), ("session_summaries", "sessions")):
+        rows = ST.read_table(c.spark, folder, table).groupBy(repo).agg(F.count(F.lit(1)).alias(name))
+        counted = counted.join(rows, "repo_id", "left").withColumn(name, F.coalesce(name, F.lit(0).cast("long")))
+    return counted
