@@ -96,7 +96,9 @@ X = {
 
 def _units(c):
     s = I.summaries(c)
-    return s, c.table("units", lambda: M.unit_commits(K.with_riding(K.people(s), c.tags())))
+    # the queries below read these columns only
+    riding = lambda: K.with_riding(K.people(s), c.tags()).select(*K.KEY, "seq", "authored_ms", "kind", "rides", "weight", "churn")
+    return s, c.table("units", lambda: M.unit_commits(riding()))
 
 
 def _features(c):
