@@ -16,7 +16,8 @@ shares one is compared with one member of the key, its pivot.  What is verified
 The index is for the links between components: a token is frequent by the number of components
 that it is met in, so a large group of near copies makes none, and keys inside one component say
 nothing more.  The members of a key are first compared with its pivot, and only those of keys
-that then still join several components with each other.  Sizes and a 256-bit parity sketch, then
+that then still join several components with each other; a pair that shares many keys is made under
+the least of them, as far as the least keys of both sets show it.  Sizes and a 256-bit parity sketch, then
 one as long as the set, bound the symmetric difference from below, so pairs are dropped before
 their sets are fetched, and never one that links.  What is left is verified on the whole sets.
 """
@@ -48,6 +49,8 @@ SKETCH = 512
 MINI = 256
 #: tokens of a head beyond d and a quarter of it
 HEAD = 10
+#: least keys of a set that its index entries carry
+CARRIED_KEYS = 16
 #: bytes of texts that a task splits at once
 CHUNK = 1 << 18
 
@@ -369,6 +372,28 @@ def index_entries(docs: DataFrame, classes: DataFrame, comps: DataFrame, k: int,
     return entries
 
 
+def with_least_keys(members: DataFrame) -> DataFrame:
+    """(key, set_id...) with the least keys (least_keys) of each set among these rows; staged."""
+    members = stage(members)
+    least = members.groupBy("set_id").agg(F.slice(F.sort_array(F.collect_list("key")), 1, CARRIED_KEYS).alias("least_keys"))
+    return members.join(least, "set_id")
+
+
+def pairs_across(members: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): sets of different components that meet under a key, not both with its pivot, and that sizes and short sketches let link.
+
+    Near copies share most of their keys.  A pair is left out under a key that is not the least of
+    those that the least keys of both sets have in common: it is made under that one.
+    """
+    outside = members.filter("not with_pivot")
+    right = members.select("key", *[F.col(c).alias(f"r_{c}") for c in ("set_id", "comp", "with_pivot", "n", "least_keys", *MINIS)])
+    least = F.array_min(F.array_intersect("least_keys", "r_least_keys"))
+    across = outside.join(right, "key").filter(
+        (F.col("comp") != F.col("r_comp")) & (F.col("r_with_pivot") | (F.col("set_id") < F.col("r_set_id"))) & near_in_size(F.col("n"), F.col("r_n"), num, den)
+        & near_in_mini("", "r_", "n", "r_n", num, den) & (F.coalesce(least, "key") == F.col("key")))
+    return across.select(*ordered_pair("set_id", "r_set_id"))
+
+
 def linked_classes(docs: DataFrame, classes: DataFrame, k: int, num: int, den: int, text_column: str) -> DataFrame:
     """(node, comp): components of the classes that have a link."""
     # smaller sets have no partner but equal ones
@@ -399,12 +424,9 @@ def linked_classes(docs: DataFrame, classes: DataFrame, k: int, num: int, den: i
     open_keys = stage(members.filter("not with_pivot").select("key").distinct())
     if open_keys.isEmpty():
         return comps
-    members = stage(members.join(open_keys, "key", "left_semi").join(classes.select("set_id", "n", *MINIS), "set_id"))
-    outside = members.filter("not with_pivot")
-    right = members.select("key", *[F.col(c).alias(f"r_{c}") for c in ("set_id", "comp", "with_pivot", "n", *MINIS)])
-    across = outside.join(right, "key").filter(
-        (F.col("comp") != F.col("r_comp")) & (F.col("r_with_pivot") | (F.col("set_id") < F.col("r_set_id"))) & near_in_size(F.col("n"), F.col("r_n"), num, den) & near_in_mini("", "r_", "n", "r_n", num, den))
-    return components(links.union(check(across.select(*ordered_pair("set_id", "r_set_id")), links)))
+    members = with_least_keys(members.join(open_keys, "key", "left_semi"))
+    members = stage(members.join(classes.select("set_id", "n", *MINIS), "set_id"))
+    return components(links.union(check(pairs_across(members, num, den), links)))
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 5, num: int = 80, den: int = 100, id_column: str = "doc_id", text_column: str = "text", keep_hash: bool = False) -> DataFrame:

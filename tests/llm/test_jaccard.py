@@ -72,3 +72,15 @@ def test_columns_of_any_name(spark):
     kept = jaccard_join.one_of_each(docs)
     assert kept.columns == docs.columns and [tuple(r) for r in kept.collect()] == [(1, text, "a", 5, "x", None)]
     assert jaccard_join.near_duplicates(docs.select(F.col("doc_id"), "text", "_h")).count() == 2
+
+
+def test_pairs_that_share_many_keys_are_made_once(spark):
+    # 40 sets under the same 30 keys, of which the last five lie in the component of the pivots; two sets share but one key
+    zero = {m: 0 for m in jaccard_join.MINIS}
+    row = lambda key, s, comp, inside: {"key": key, "set_id": s, "comp": comp, "with_pivot": inside, "n": 100, **zero}
+    rows = [row(1000 + k, s, 0 if s >= 35 else 1 + s // 2, s >= 35) for k in range(30) for s in range(40)]
+    rows += [row(5000 + k, 100, 100, False) for k in range(20)] + [row(5019, 101, 101, True)] + [row(9000 + k, 101, 101, False) for k in range(20)]
+    schema = "key bigint, set_id bigint, comp bigint, with_pivot boolean, n bigint, " + jaccard_join.MINI_SCHEMA
+    got = [tuple(r) for r in jaccard_join.pairs_across(jaccard_join.with_least_keys(spark.createDataFrame(rows, schema)), 90, 100).collect()]
+    comp = {r["set_id"]: r["comp"] for r in rows if r["set_id"] < 40}
+    assert sorted(got) == sorted([(a, b) for a in comp for b in comp if a < b and comp[a] != comp[b]] + [(100, 101)])
