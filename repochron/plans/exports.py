@@ -24,8 +24,10 @@ def log_dumps(c: Corpus) -> DataFrame:
     raw = F.concat(F.lit(":100644 100644 aaaa bbbb "), letter, F.lit(NUL), old, "path", F.lit(NUL))
     count = lambda name: F.coalesce(F.col(name).cast("string"), F.lit("-"))
     counts = F.concat(count("additions"), F.lit("\t"), count("deletions"), F.lit("\t"), F.when(renamed, F.lit(NUL)).otherwise(""), old, "path", F.lit(NUL))
+    # texts are made of the columns behind the shuffle, which would carry each path up to four times
+    rows = c.changes().repartition("repo_id", "sha").select("repo_id", "sha", F.struct("pos", "path", raw.alias("raw"), counts.alias("counts")).alias("e"))
     entries = lambda field: F.array_join(F.transform(F.array_sort("e"), lambda e: e[field]), "")
-    changes = c.changes().groupBy("repo_id", "sha").agg(F.collect_list(F.struct("pos", "path", raw.alias("raw"), counts.alias("counts"))).alias("e")).select(
+    changes = rows.groupBy("repo_id", "sha").agg(F.collect_list("e").alias("e")).select(
         "repo_id", "sha", F.concat(F.lit("\n"), entries("raw"), entries("counts")).alias("tail"))
     parents = F.array_join(F.transform(F.slice(F.array(F.lit("p0"), F.lit("p1")), F.lit(1), "n_parents"), lambda p: F.concat(p, F.col("short_sha"))), " ")
     fields = [F.lit(RECORD_MARKER), F.col("sha"), F.col("short_sha"), parents, F.col("author_name"), F.col("authored_raw"), F.col("subject"), F.concat("body", F.lit("\n")), F.lit("")]

@@ -48,11 +48,16 @@ def read_records(spark: SparkSession, path: str, marker: str = RECORD_MARKER, *,
     a marker.  A text that does not go on like a header follows a marker inside a field, so it is
     glued to the one before, also over a block border: starts are counted in each block, and the sums
     of the blocks before are added.  Text ahead of the first marker of a file is a record at 0, empty
-    or not; markers of one file number its records.
+    or not; markers of one file number its records.  A file that is one block (small ones, and
+    compressed ones of any size) is glued in the task that reads it.
     """
     split = f"{marker}\0"
     scan = spark.read.option("lineSep", split).option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(path)
-    texts = scan.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), "value")
+    one_block = (F.col("_metadata.file_block_start") == 0) & (F.col("_metadata.file_block_length") >= F.col("_metadata.file_size"))
+    file = F.col("_metadata.file_path").alias("file")
+    single = scan.filter(one_block).select(file, _starts("value").alias("starts"), F.col("value").cast("binary").alias("value")).mapInPandas(
+        _glue(split.encode()), "file string, log_pos long, content binary")
+    texts = scan.filter(~one_block).select(file, F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), "value")
     inside = Window.partitionBy("file", "block").orderBy("row")
     lead = (F.col("block") == 0) & (F.row_number().over(inside) == 1)
     marked = texts.withColumn("lead", lead).withColumn("starts", (~F.col("lead") & _starts("value")).cast("long")).withColumn("n", F.sum("starts").over(inside))
@@ -64,7 +69,30 @@ def read_records(spark: SparkSession, path: str, marker: str = RECORD_MARKER, *,
     whole = numbered.groupBy("file", "log_pos").agg(F.array_sort(F.collect_list(piece)).alias("pieces"))
     content = F.aggregate("pieces", F.lit(b""), lambda all_, p: F.concat(all_, p["value"]))
     number = lambda group: F.regexp_extract("file", place, group).cast("long")
-    return whole.select(number(1).alias("repo_id"), number(2).alias("part"), "log_pos", content.alias("content"))
+    return whole.select("file", "log_pos", content.alias("content")).unionByName(single).select(
+        number(1).alias("repo_id"), number(2).alias("part"), "log_pos", "content")
+
+
+def _glue(split: bytes):
+    """Texts of whole files, each file's in order, to its records."""
+    def records_of(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+        file, log_pos, pieces = None, 0, []
+        for batch in batches:
+            for here, starts, value in zip(batch["file"], batch["starts"], batch["value"]):
+                if here == file and not starts:
+                    pieces += (split, value)
+                    continue
+                if pieces:
+                    yield file, log_pos, b"".join(pieces)
+                file, log_pos, pieces = (file, log_pos + 1, [split, value]) if here == file else (here, 0, [value])
+        if pieces:
+            yield file, log_pos, b"".join(pieces)
+
+    def glue(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in itertools.batched(records_of(batches), _BATCH):
+            yield pd.DataFrame(rows, columns=["file", "log_pos", "content"])
+
+    return glue
 
 
 def _count(text: str) -> int | None:
