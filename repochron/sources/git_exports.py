@@ -55,8 +55,14 @@ def read_records(spark: SparkSession, path: str, marker: str = RECORD_MARKER, *,
     scan = spark.read.option("lineSep", split).option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(path)
     one_block = (F.col("_metadata.file_block_start") == 0) & (F.col("_metadata.file_block_length") >= F.col("_metadata.file_size"))
     file = F.col("_metadata.file_path").alias("file")
-    single = scan.filter(one_block).select(file, _starts("value").alias("starts"), F.col("value").cast("binary").alias("value")).mapInPandas(
+    # files are packed by their number; small ones go together, as each task starts its own Python workers
+    tasks = max(3 * spark.sparkContext.defaultParallelism, scan.rdd.getNumPartitions() // 16)
+    single = scan.filter(one_block).coalesce(tasks).select(file, _starts("value").alias("starts"), F.col("value").cast("binary").alias("value")).mapInPandas(
         _glue(split.encode()), "file string, log_pos long, content binary")
+    number = lambda group: F.regexp_extract("file", place, group).cast("long")
+    placed = lambda df: df.select(number(1).alias("repo_id"), number(2).alias("part"), "log_pos", "content")
+    if glob.endswith(".gz"):  # never split
+        return placed(single)
     texts = scan.filter(~one_block).select(file, F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), "value")
     inside = Window.partitionBy("file", "block").orderBy("row")
     lead = (F.col("block") == 0) & (F.row_number().over(inside) == 1)
@@ -68,9 +74,7 @@ def read_records(spark: SparkSession, path: str, marker: str = RECORD_MARKER, *,
     piece = F.struct("block", "row", F.when(F.col("lead"), F.col("value")).otherwise(F.concat(F.lit(split), "value")).cast("binary").alias("value"))
     whole = numbered.groupBy("file", "log_pos").agg(F.array_sort(F.collect_list(piece)).alias("pieces"))
     content = F.aggregate("pieces", F.lit(b""), lambda all_, p: F.concat(all_, p["value"]))
-    number = lambda group: F.regexp_extract("file", place, group).cast("long")
-    return whole.select("file", "log_pos", content.alias("content")).unionByName(single).select(
-        number(1).alias("repo_id"), number(2).alias("part"), "log_pos", "content")
+    return placed(whole.select("file", "log_pos", content.alias("content")).unionByName(single))
 
 
 def _glue(split: bytes):
